@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import sql
+from grainmill.llm.decontaminate import benchmark_overlap, contamination
 from grainmill.llm.jaccard_join import jaccard_components
 from grainmill.plans.shipping import ship
 
@@ -19,6 +20,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(benchmark_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(_read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -26,11 +33,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
         "op9_ngram_jaccard_join": sql.NGRAM_JACCARD,
     }

@@ -24,3 +24,23 @@ both_in AS (
 SELECT w.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
 FROM words w JOIN reach r ON r.node = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id GROUP BY w.doc_id
 """
+
+#: Words of letters, digits and all beyond ASCII.
+_ALNUM = "regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+BENCHMARK_DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM (SELECT doc_id, {_LOWER} AS lower_ascii FROM documents)),
+b AS (SELECT DISTINCT item_id, {_ALNUM} AS w FROM (SELECT item_id, {_LOWER} AS lower_ascii FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i+least(13, len(w))-1], ' '))) AS t
+  FROM b WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, lengths WHERE len(w) >= size),
+grams AS (SELECT doc_id, size, i, array_to_string(w[i:i+size-1], ' ') AS t FROM places),
+hits AS (SELECT g.doc_id, g.i, g.size, x.item_id FROM grams g JOIN windows x ON x.t = g.t AND x.size = g.size),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import sql
 from grainmill.llm.decontaminate import benchmark_overlap, contamination
+from grainmill.llm.extendible_shards import assign_shards
 from grainmill.llm.jaccard_join import jaccard_components
+from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
+from grainmill.llm.source_mixture import mix_sources
 from grainmill.plans.shipping import ship
+from grainmill.plans.workspace import Workspace
+
+#: Bytes of text in a shard, at most.
+SHARD_BYTES = 64 << 20
+#: The vocabulary of token-id files.
+VOCABULARY = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +29,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), F.col("_mix_shards").alias("shards"))
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_read(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
+
+
+def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Workspace(spark, "packed").path("ids")
+    write_packed(_read(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return packed_documents(read_packed(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(benchmark_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -33,6 +59,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_source_mixture": op3_source_mixture,
+        "op4_extendible_sharding": op4_extendible_sharding,
+        "op5_packed_token_ids": op5_packed_token_ids,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
@@ -40,6 +69,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_extendible_sharding": sql.extendible_sharding(SHARD_BYTES),
         "op8_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
         "op9_ngram_jaccard_join": sql.NGRAM_JACCARD,
     }

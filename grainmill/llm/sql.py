@@ -44,3 +44,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def extendible_sharding(limit: int, bits: int = 60) -> str:
+    """Each row's bucket is the first prefix of its hash that fits, or that holds one hash only."""
+    return f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {bits // 4}) AS BIGINT) AS h FROM documents
+), keys AS (SELECT h, sum(n_bytes) AS n_bytes, count(*) AS n FROM d GROUP BY h),
+levels AS (SELECT h, n_bytes, n, depth, h >> ({bits} - depth) AS prefix FROM keys, (SELECT unnest(range(0, {bits} + 1)) AS depth)),
+buckets AS (
+  SELECT depth, prefix, sum(n_bytes) AS shard_bytes, sum(n) AS shard_docs FROM levels GROUP BY 1, 2
+  HAVING sum(n_bytes) <= {limit} OR min(h) = max(h)
+), first AS (
+  SELECT l.h, min(l.depth) AS depth FROM levels l JOIN buckets b ON l.depth = b.depth AND l.prefix = b.prefix GROUP BY l.h
+)
+SELECT d.doc_id, d.n_bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(b.prefix), CAST(f.depth AS INTEGER), '0') END AS shard, CAST(f.depth AS INTEGER) AS shard_depth,
+  CAST(b.shard_bytes AS BIGINT) AS shard_bytes, CAST(b.shard_docs AS BIGINT) AS shard_docs
+FROM d JOIN first f ON f.h = d.h JOIN buckets b ON b.depth = f.depth AND b.prefix = d.h >> ({bits} - f.depth)
+"""

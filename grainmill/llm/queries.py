@@ -13,6 +13,7 @@ from grainmill.llm.extendible_shards import assign_shards
 from grainmill.llm.jaccard_join import jaccard_components
 from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
 from grainmill.llm.source_mixture import mix_sources
+from grainmill.llm.span_dedup import dedup_spans
 from grainmill.plans.shipping import ship
 from grainmill.plans.workspace import Workspace
 
@@ -46,6 +47,11 @@ def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_packed(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_spans(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "text", F.col("n_sentences").cast("long").alias("n_sentences"), F.size("removed").cast("long").alias("n_removed_spans"), F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("removed_bytes"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(benchmark_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -62,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op3_source_mixture": op3_source_mixture,
         "op4_extendible_sharding": op4_extendible_sharding,
         "op5_packed_token_ids": op5_packed_token_ids,
+        "op7_sentence_span_dedup": op7_sentence_span_dedup,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }

@@ -12,6 +12,7 @@ from grainmill.llm.decontaminate import benchmark_overlap, contamination
 from grainmill.llm.extendible_shards import assign_shards
 from grainmill.llm.jaccard_join import jaccard_components
 from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
+from grainmill.llm.quality_rules import judge_quality
 from grainmill.llm.source_mixture import mix_sources
 from grainmill.llm.span_dedup import dedup_spans
 from grainmill.plans.shipping import ship
@@ -63,6 +64,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_source_mixture": op3_source_mixture,
@@ -71,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op7_sentence_span_dedup": op7_sentence_span_dedup,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
@@ -79,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_extendible_sharding": sql.extendible_sharding(SHARD_BYTES),
         "op8_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
         "op9_ngram_jaccard_join": sql.NGRAM_JACCARD,
+        "op10_quality_rules": sql.quality_rules(),
     }

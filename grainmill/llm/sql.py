@@ -64,3 +64,44 @@ SELECT d.doc_id, d.n_bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(b.prefix
   CAST(b.shard_bytes AS BIGINT) AS shard_bytes, CAST(b.shard_docs AS BIGINT) AS shard_docs
 FROM d JOIN first f ON f.h = d.h JOIN buckets b ON b.depth = f.depth AND b.prefix = d.h >> ({bits} - f.depth)
 """
+
+
+def quality_rules() -> str:
+    """Counts by unnesting, and expectation-maximisation as a recursion over one row of parameters."""
+    from grainmill.llm.quality_rules import ITERATIONS, RULES, _FLOOR
+
+    n = len(RULES)
+    votes = ", ".join(f"{r.vote()} AS v{j}" for j, r in enumerate(RULES))
+    names = ", ".join(f"v{j}" for j in range(n))
+    params = ", ".join(f"a{j}, b{j}" for j in range(n))
+    start = ", ".join(f"CAST(0.9 AS DOUBLE) AS a{j}, CAST(0.6 AS DOUBLE) AS b{j}" for j in range(n))
+    odds = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE v{j} WHEN 1 THEN ln(a{j} / (1 - b{j})) WHEN 0 THEN ln((1 - a{j}) / b{j}) ELSE 0 END" for j in range(n))
+    inside = lambda x: f"least({1 - _FLOOR}, greatest({_FLOOR}, {x}))"
+    step = ", ".join(
+        inside(f"(coalesce(sum(n * p) FILTER (WHERE v{j} = 1), 0) + 1) / (coalesce(sum(n * p) FILTER (WHERE v{j} IS NOT NULL), 0) + 2)") + f" AS a{j}, " + inside(f"(coalesce(sum(n * (1 - p)) FILTER (WHERE v{j} = 0), 0) + 1) / (coalesce(sum(n * (1 - p)) FILTER (WHERE v{j} IS NOT NULL), 0) + 2)") + f" AS b{j}" for j in range(n)
+    )
+    count = lambda pattern: f"CAST(len(regexp_extract_all(t, '{pattern}')) AS BIGINT)"
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) >= 3),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS x FROM places),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS d FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM texts) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT t.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, {count("[^\x20\x09-\x0D]")} AS word_chars, {count("[#*$%&|<>]")} AS n_symbols, {count("[A-Z]")} AS n_capitals,
+    {count("[A-Za-z]")} AS n_letters, {count("[.!?](?:[\x20\x09-\x0D]|$)")} AS n_stops, {count("!!")} AS n_shouts,
+    CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(l.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM texts t JOIN words w USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+), voted AS (SELECT *, {votes} FROM counts),
+patterns AS (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM voted WHERE n_words > 0 GROUP BY {names}),
+em AS (
+  SELECT 0 AS step, CAST(0.8 AS DOUBLE) AS prior, {start}
+  UNION ALL
+  SELECT step + 1, {inside("(sum(n * p) + 1) / (sum(n) + 2)")} AS prior, {step}
+  FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns WHERE step < {ITERATIONS}) GROUP BY step
+), fitted AS (SELECT prior, {params} FROM em WHERE step = {ITERATIONS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted), fitted
+"""

@@ -78,15 +78,17 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 class Words:
     """Words of consecutive documents: hashes, byte spans and document borders.
 
-    ``first[i]:first[i + 1]`` are the words of document ``i`` of the chunk.
+    ``first[i]:first[i + 1]`` are the words of document ``i`` of the chunk, and
+    ``edge[i]:edge[i + 1]`` its bytes.
     """
 
-    __slots__ = ("docs", "first", "hash", "raw", "start", "stop")
+    __slots__ = ("docs", "edge", "first", "hash", "raw", "start", "stop")
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, kind: np.ndarray, fold: bool = True) -> None:
         self.docs = len(at) - 1
         low, n = int(at[0]), int(at[-1] - at[0])
-        self.raw, edges = raw[low : low + n], at - low
+        self.raw, self.edge = raw[low : low + n], at - low
+        edges = self.edge
         if not n:
             self.start = self.stop = np.zeros(0, np.int64)
             self.hash, self.first = np.zeros(0, _U), np.zeros(self.docs + 1, np.int64)
@@ -150,3 +152,21 @@ def shingle_sets(words: Words, width: int = 5) -> Iterator[np.ndarray]:
             yield run[keep]
         else:
             yield sequence_hash(words.hash[low:high], n) if n else np.zeros(0, _U)
+
+
+class Lookup:
+    """Which of many hashes are in a sorted table: a bitmap first, then a search."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table = table
+        self.bits = max(16, min(24, (16 * max(len(table), 1)).bit_length()))
+        self.map = np.zeros(1 << self.bits, bool)
+        self.map[(table >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``values`` that are in the table, and where they are in it."""
+        maybe = np.flatnonzero(self.map[values >> np.uint64(64 - self.bits)])
+        at = np.searchsorted(self.table, values[maybe])
+        at[at == len(self.table)] = 0
+        hit = self.table[at] == values[maybe]
+        return maybe[hit], at[hit]

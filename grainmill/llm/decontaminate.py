@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm._bytes import ALNUM, Words, chunks, sequence_hash
+from grainmill.llm._bytes import ALNUM, Lookup, Words, chunks, sequence_hash
 
 #: Benchmark text broadcast at once. A larger benchmark is taken in blocks of this size, one pass over the documents each.
 BLOCK_BYTES = 16 << 20
@@ -25,24 +25,6 @@ _WIDTH = 5
 _OUT = "id long, n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
 
 
-class _Member:
-    """Which of many hashes are in a sorted table: a bitmap first, then a search."""
-
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table
-        self.bits = max(16, min(24, (16 * max(len(table), 1)).bit_length()))
-        self.map = np.zeros(1 << self.bits, bool)
-        self.map[(table >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``values`` that are in the table, and where they are in it."""
-        maybe = np.flatnonzero(self.map[values >> np.uint64(64 - self.bits)])
-        at = np.searchsorted(self.table, values[maybe])
-        at[at == len(self.table)] = 0
-        hit = self.table[at] == values[maybe]
-        return maybe[hit], at[hit]
-
-
 class _Windows:
     """Distinct windows of a block of items, and the items that have each."""
 
@@ -91,7 +73,7 @@ class _Windows:
 
 def _counts(vocabulary, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = _Member(np.frombuffer(vocabulary.value, np.uint64))
+        member = Lookup(np.frombuffer(vocabulary.value, np.uint64))
         total = np.zeros(len(member.table), np.int64)
         for batch in batches:
             for _, words in chunks(batch.column(0), ALNUM):
@@ -142,7 +124,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _scan(block, first_pass: bool, last_pass: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prefixes = block.value
-        index = {width: (_Member(token), first, window, place) for width, (token, first, window, place) in prefixes.items()}
+        index = {width: (Lookup(token), first, window, place) for width, (token, first, window, place) in prefixes.items()}
         content = np.concatenate(windows.words) if windows.words else np.zeros(0, np.uint64)
         border = np.r_[0, np.cumsum([len(w) for w in windows.words])].astype(np.int64)
         spans_type, items_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())

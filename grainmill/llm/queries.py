@@ -15,6 +15,7 @@ from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
 from grainmill.llm.quality_rules import judge_quality
 from grainmill.llm.source_mixture import mix_sources
 from grainmill.llm.span_dedup import dedup_spans
+from grainmill.llm.toxic_spans import score_toxicity, train_on
 from grainmill.plans.shipping import ship
 from grainmill.plans.workspace import Workspace
 
@@ -31,6 +32,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    field = train_on(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    scored = score_toxicity(docs, field).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.expr("cast(score >= 0.7 AS int)").alias("predicted"), "spans")
+
+
 def op3_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), F.col("_mix_shards").alias("shards"))
@@ -71,6 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxic_spans": op2_toxic_spans,
         "op3_source_mixture": op3_source_mixture,
         "op4_extendible_sharding": op4_extendible_sharding,
         "op5_packed_token_ids": op5_packed_token_ids,

@@ -12,15 +12,19 @@ from grainmill.llm.decontaminate import benchmark_overlap, contamination
 from grainmill.llm.extendible_shards import assign_shards
 from grainmill.llm.jaccard_join import jaccard_components
 from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
+from grainmill.llm.pii_pseudonyms import pseudonymise
 from grainmill.llm.quality_rules import judge_quality
 from grainmill.llm.source_mixture import mix_sources
 from grainmill.llm.span_dedup import dedup_spans
+from grainmill.llm.tool_calls import chat_lines
 from grainmill.llm.toxic_spans import score_toxicity, train_on
 from grainmill.plans.shipping import ship
 from grainmill.plans.workspace import Workspace
 
 #: Bytes of text in a shard, at most.
 SHARD_BYTES = 64 << 20
+#: Stands in for a secret from the caller's key store.
+PSEUDONYM_KEY = "query-key"
 #: The vocabulary of token-id files.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -32,6 +36,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_read(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
+
+
 def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
@@ -57,6 +65,10 @@ def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_packed(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_lines(_read(spark, sf_dir, "conversations"))
+
+
 def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_spans(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "text", F.col("n_sentences").cast("long").alias("n_sentences"), F.size("removed").cast("long").alias("n_removed_spans"), F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("removed_bytes"))
@@ -80,10 +92,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii_pseudonyms": op1_pii_pseudonyms,
         "op2_toxic_spans": op2_toxic_spans,
         "op3_source_mixture": op3_source_mixture,
         "op4_extendible_sharding": op4_extendible_sharding,
         "op5_packed_token_ids": op5_packed_token_ids,
+        "op6_tool_call_linking": op6_tool_call_linking,
         "op7_sentence_span_dedup": op7_sentence_span_dedup,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

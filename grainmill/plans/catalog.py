@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+import grainmill.plans.queries_metrics  # noqa: F401

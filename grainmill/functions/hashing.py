@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from grainmill.functions.text import fold
 
@@ -49,7 +50,7 @@ def role_of(weights: dict[str, int]):
     """An Arrow UDF that picks a role by the whole 256-bit hash modulo the sum of weights."""
     names, total = list(weights.items()), sum(weights.values())
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def pick(key: pd.Series) -> pd.Series:
         def one(k: str) -> str:
             at = int(hashlib.sha256(k.encode()).hexdigest(), 16) % total

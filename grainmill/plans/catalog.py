@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 import grainmill.plans.queries_metrics  # noqa: F401
+import grainmill.plans.queries_corpus  # noqa: F401

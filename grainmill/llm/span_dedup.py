@@ -156,9 +156,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     space = Workspace(spark, "spans")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = rows.mapInArrow(_emit_spans(min_sentences, min_words), "span long, id long, first int, last int")
-    known = spans.select("span", "id", F.expr("shiftleft(cast(first AS bigint), 32) | last").alias("place")).repartition("span")
-    heads = known.groupBy("span").agg(F.min(F.struct("id", "place")).alias("head"), F.max(F.struct("id", "place")).alias("tail")).where("head <> tail").select("span", "head")
-    repeats = known.join(heads.hint("shuffle_hash"), "span").where("struct(id, place) <> head").select("id", "place")
+    known = spans.select("span", F.struct("id", F.expr("shiftleft(cast(first AS bigint), 32) | last").alias("place")).alias("at"))
+    # summed before the shuffle; the join that follows lets Spark split a span that very many documents share
+    heads = known.groupBy("span").agg(F.min("at").alias("head"), F.max("at").alias("tail")).where("head <> tail").select("span", "head")
+    repeats = known.join(heads, "span").where("at <> head").select("at.id", "at.place")
     repeats = space.table("repeats", repeats.distinct())
     drops = repeats.groupBy("id").agg(F.collect_list("place").alias("places"))
     drops = drops.select(F.col("id").alias("of"), F.expr("transform(places, p -> array(cast(shiftright(p, 32) AS int), cast(p & 4294967295 AS int)))").alias("gone"))

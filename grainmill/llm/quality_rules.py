@@ -17,11 +17,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.plans.workspace import Workspace
+
 _WORD = r"[^\x20\x09-\x0D]"
 _GAP = r"[\x20\x09-\x0D]+"
 ITERATIONS = 20
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_letters", "n_stops", "n_shouts", "n_repeat_words", "n_lines", "n_dup_lines")
 #: Rates stay this far from 0 and 1.
 _FLOOR = 0.001
+#: A good document gets a bad vote of a rule twice in a thousand times at most. Without
+#: this bound the likeliest fit takes the commonest kind of junk for a trait of good documents.
+_GOOD_FLOOR = 0.998
 
 
 @dataclass(frozen=True)
@@ -40,8 +46,8 @@ class Rule:
 RULES = (
     Rule("symbols", "20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
     Rule("capitals", "100 * n_capitals > 30 * n_letters", "100 * n_capitals <= 10 * n_letters"),
-    Rule("repetition", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    Rule("lines", "100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
+    Rule("repetition", "100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    Rule("lines", "100 * n_dup_lines > 50 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
     Rule("shouting", "20 * n_shouts > n_words", "n_shouts = 0"),
     Rule("stops", "n_words > 60 * n_stops", "n_words <= 30 * n_stops"),
     Rule("word_length", "10 * word_chars > 75 * n_words OR 10 * word_chars < 25 * n_words", "10 * word_chars <= 65 * n_words AND 10 * word_chars >= 35 * n_words"),
@@ -124,7 +130,7 @@ def fit_accuracies(patterns: list[tuple[tuple[int | None, ...], int]], rules: in
 
     ``patterns``: votes (1, 0 or None) and the number of documents that vote so.
     """
-    prior, right_good, right_bad = 0.8, [0.9] * rules, [0.6] * rules
+    prior, right_good, right_bad = 0.8, [_GOOD_FLOOR] * rules, [0.3] * rules
     total = sum(n for _, n in patterns)
     for _ in range(iterations if total else 0):
         mass, good, good_1, bad, bad_0 = 0.0, [0.0] * rules, [0.0] * rules, [0.0] * rules, [0.0] * rules
@@ -138,7 +144,7 @@ def fit_accuracies(patterns: list[tuple[tuple[int | None, ...], int]], rules: in
                     bad[j] += n * (1 - p)
                     bad_0[j] += n * (1 - p) * (1 - v)
         prior = _inside((mass + 1) / (total + 2))
-        right_good = [_inside((a + 1) / (b + 2)) for a, b in zip(good_1, good, strict=True)]
+        right_good = [max(_GOOD_FLOOR, _inside((a + 1) / (b + 2))) for a, b in zip(good_1, good, strict=True)]
         right_bad = [_inside((a + 1) / (b + 2)) for a, b in zip(bad_0, bad, strict=True)]
     return prior, right_good, right_bad
 
@@ -162,8 +168,12 @@ def vote_patterns(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tu
     return [(tuple(r[n] for n in names), r["count"]) for r in votes.groupBy(*names).count().orderBy(*names).collect()]
 
 
-def judge_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Every input column, the counts, and the verdict of the rules.
+def judge_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """Input columns, the counts, and the verdict of the rules.
+
+    The rules are fitted first and applied then. With ``keep``, the input columns
+    that the result needs, counts are written once beside them and read for both;
+    without it all columns stay, and counts are made twice instead.
 
     Adds ``quality`` (posterior probability of a good document), ``base_failed``
     (under 50 words, or more than half of them in repeated three-word windows) and
@@ -173,6 +183,8 @@ def judge_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     empty table gives an empty result.
     """
     counts = quality_counts(docs, text_col)
+    if keep is not None:
+        counts = Workspace(docs.sparkSession, "quality").table("counts", counts.select(*keep, *COUNTS))
     prior, right_good, right_bad = fit_accuracies(vote_patterns(counts, rules), len(rules))
     odds = F.lit(math.log(prior / (1 - prior)))
     for rule, a, b in zip(rules, right_good, right_bad, strict=True):

@@ -44,7 +44,7 @@ def waterfill(sizes: Sequence[int], weights: Sequence[float], total: float, cap:
                 out[i] = rest * weights[i] / weight
             break
         for i in sorted(over):
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
             rest -= out[i]
         open_ -= over
     return out

@@ -22,11 +22,12 @@ components is lost. Every comparison intersects whole sets.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm._bytes import SPACED, chunks, mix, shingle_sets
@@ -40,9 +41,14 @@ _PIECES = 64
 _FILTER_BITS = (20, 28)
 #: Rounds that compare one member per list or component before the exhaustive one.
 _STAR_ROUNDS = 2
+#: Members of a list that one head is compared with.
+LIST_GROUP = 256
 _SUBSET = np.uint64(0xA0761D6478BD642F)
 
-_SUMMARY = "id long, n int, cls long, piece int, cells binary"
+#: Words of a class's parity signature: bit i is the parity of its shingles that hash to i.
+_SIGNS = [f"s{i}" for i in range(8)]
+_SUMMARY = "id long, n int, cls long, piece int, cells binary, " + ", ".join(f"{c} long" for c in _SIGNS)
+_SUMMARY_NAMES = [c.split()[0] for c in _SUMMARY.split(", ")]
 _POSTING = "token long, cls long, n int, pos int"
 
 
@@ -53,23 +59,31 @@ def _class_of(shingles: np.ndarray) -> int:
         return int(mix(np.array([total ^ np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
+def _signature(shingles: np.ndarray) -> np.ndarray:
+    bits = 64 * len(_SIGNS)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _summaries(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            size, name = [], []
+            size, name, sign = [], [], []
             for _, words in chunks(batch.column(1), SPACED):
                 found = list(shingle_sets(words, width))
                 size += map(len, found)
                 name += [_class_of(s) if len(s) else 0 for s in found]
+                sign += [_signature(s) for s in found]
                 if found:
                     cells += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
             none = pa.nulls(len(size), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), none, pa.nulls(len(size), pa.binary())], ["id", "n", "cls", "piece", "cells"])
+            signs = np.stack(sign, 1) if sign else np.zeros((len(_SIGNS), 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), none, pa.nulls(len(size), pa.binary()), *map(pa.array, signs)], _SUMMARY_NAMES)
         used = [(i, part) for i, part in enumerate(np.split(cells, _PIECES)) if part.any()]
         if used:
             empty = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.nulls(len(used), pa.int32()), empty, pa.array([i for i, _ in used], pa.int32()), pa.array([np.minimum(p, 2**31 - 1).astype("<u4").tobytes() for _, p in used], pa.binary())], ["id", "n", "cls", "piece", "cells"])
+            yield pa.RecordBatch.from_arrays([empty, pa.nulls(len(used), pa.int32()), empty, pa.array([i for i, _ in used], pa.int32()), pa.array([np.minimum(p, 2**31 - 1).astype("<u4").tobytes() for _, p in used], pa.binary()), *[empty] * len(_SIGNS)], _SUMMARY_NAMES)
 
     return run
 
@@ -175,22 +189,15 @@ def _filter_pieces(bits: int):
 def _sets(width: int, bits: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.frombuffer(wanted.value, np.uint8)
-        seen: set[int] = set()
         for batch in batches:
-            for _, words in chunks(batch.column(0), SPACED):
-                name, data = [], []
-                for s in shingle_sets(words, width):
-                    if len(s) < 2:
-                        continue
-                    c = _class_of(s)
-                    if c in seen or not all(keep[at[0] >> 3] >> (7 - (at[0] & 7)) & 1 for at in _bits(np.array([c]), bits)):
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
-                    name.append(c)
-                    data.append(s.astype("<u8").tobytes())
-                if name:
-                    yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(data, pa.binary())], ["cls", "items"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            needed = np.ones(len(ids), bool)
+            for at in _bits(ids, bits):
+                needed &= (keep[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            for _, words in chunks(batch.column(1).filter(pa.array(needed)), SPACED):
+                found = [s for s in shingle_sets(words, width) if len(s) > 1]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], ["cls", "items"])
 
     return run
 
@@ -214,13 +221,52 @@ def _compare(threshold: tuple[int, int]):
     return run
 
 
-def _may_link(a: str, b: str, threshold: tuple[int, int], placed: bool) -> str:
-    """Length bound, and with ``placed`` the bound from the first shared shingle's places."""
+def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int], space: Workspace, name: str) -> DataFrame:
+    """The pairs of classes (cls, other) whose sets link.
+
+    Sets are made again from the texts of one document of each class in a pair; a
+    filter of bounded size, which may let some more pass, spares the others. They
+    are written in buckets by class, so that neither join shuffles them.
+    """
+    spark = rows.sparkSession
+    ends = pairs.select("cls").unionByName(pairs.select(F.col("other").alias("cls"))).distinct()
+    needed = classes.join(ends, "cls", "left_semi").select("least")
+    bits = min(max(_FILTER_BITS[0], math.ceil(math.log2(8 * max(needed.count(), 1)))), _FILTER_BITS[1])
+    merged = np.zeros(1 << bits >> 3, np.uint8)
+    for part in needed.coalesce(8).mapInArrow(_filter_pieces(bits), "bits binary").toLocalIterator():
+        merged |= np.frombuffer(part.bits, np.uint8)
+    wanted = spark.sparkContext.broadcast(merged.tobytes())
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"grainmill_sets_{uuid.uuid4().hex}"
+    sets = rows.mapInArrow(_sets(width, bits, wanted), "cls long, items binary").repartition(buckets, "cls")
+    sets.write.format("parquet").bucketBy(buckets, "cls").option("path", space.path("sets")).saveAsTable(table)
+    try:
+        sets = spark.table(table)
+        both = pairs.join(sets.select(F.col("cls").alias("other"), F.col("items").alias("right")), "other").join(sets.select("cls", F.col("items").alias("left")), "cls")
+        return space.table(name, both.select(F.col("cls").alias("a"), F.col("other").alias("b"), "left", "right").mapInArrow(_compare(threshold), "a long, b long"))
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+        space.drop("sets")
+
+
+def _high(column: str):
+    return F.expr(f"cast(shiftright({column}, 32) AS int)")
+
+
+def _low(column: str):
+    return F.expr(f"cast({column} & 4294967295 AS int)")
+
+
+def _may_link(a: str, b: str, threshold: tuple[int, int]) -> str:
+    """Length bound, and the bound from the places of a shared shingle, were it the first one."""
+    num, den = threshold
+    return f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) AND {num + den} * least({a}n - {a}pos, {b}n - {b}pos) >= {num} * ({a}n + {b}n)"
+
+
+def _signs_allow(a: str, b: str, threshold: tuple[int, int]) -> str:
+    """Differing parities are at most the elements that only one set has, of which linked sets have few."""
     num, den = threshold
-    length = f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n)"
-    if not placed:
-        return length
-    return f"{length} AND {num + den} * (1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1) >= {num} * ({a}.n + {b}.n)"
+    differ = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in _SIGNS)
+    return f"{den + num} * ({differ}) <= {den - num} * ({a}n + {b}n)"
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -241,7 +287,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     space = Workspace(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     summary = space.table("summary", rows.mapInArrow(_summaries(width), _SUMMARY))
-    members = summary.where("piece IS NULL").select("id", "n", "cls")
+    members = summary.where("piece IS NULL").select("id", "n", "cls", *_SIGNS)
 
     pieces = {r.piece: bytes(r.cells) for r in summary.where("piece IS NOT NULL").select("piece", "cells").repartition("piece").mapInArrow(_add_cells, "piece int, cells binary").collect()}
     sketch = b"".join(pieces.get(i, bytes(4 << SKETCH_BITS - 6)) for i in range(_PIECES))
@@ -252,49 +298,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     boundary = choose_boundary([(r["n"], r["count"]) for r in sizes], min(repeats, 64.0), threshold)
 
     shared = spark.sparkContext.broadcast(sketch)
-    postings = rows.select("text").mapInArrow(_postings(width, boundary, threshold, shared), _POSTING).repartition("token")
-    lists = postings.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead <> last").select("token", "lead")
-    found = space.table("lists", postings.join(lists.hint("shuffle_hash"), "token").select("token", "cls", "n", "pos", "lead"))
+    # one exchange serves both the lists' heads and the scan of the lists; both read all its columns
+    postings = rows.select("text").mapInArrow(_postings(width, boundary, threshold, shared), _POSTING).select("token", "cls", F.expr("shiftleft(cast(n AS bigint), 32) | pos").alias("place")).repartition("token")
+    heads = postings.groupBy("token").agg(F.min(F.struct("cls", "place")).alias("head"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("size")).where("head.cls <> last").select("token", "head", "size")
+    found = postings.join(heads.hint("shuffle_hash"), "token").select("token", "cls", _high("place").alias("n"), _low("place").alias("pos"), F.col("head.cls").alias("head"), _high("head.place").alias("head_n"), _low("head.place").alias("head_pos"), "size")
+    found = space.table("lists", found)
 
-    needed = found.select("cls").distinct()
-    bits = min(max(_FILTER_BITS[0], math.ceil(math.log2(8 * max(needed.count(), 1)))), _FILTER_BITS[1])
-    merged = np.zeros(1 << bits >> 3, np.uint8)
-    for part in needed.coalesce(8).mapInArrow(_filter_pieces(bits), "bits binary").toLocalIterator():
-        merged |= np.frombuffer(part.bits, np.uint8)
-    wanted = spark.sparkContext.broadcast(merged.tobytes())
-    sets = space.table("sets", rows.select("text").mapInArrow(_sets(width, bits, wanted), "cls long, items binary").dropDuplicates(["cls"]))
+    own = space.table("classes", members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in _SIGNS]))
+    signs = own.select("cls", *_SIGNS)
+    others = own.select(F.col("cls").alias("other"), *[F.col(c).alias(f"other_{c}") for c in _SIGNS])
 
-    links = None
-    labels = None
+    def allowed(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(signs, "cls").join(others, "other").where(_signs_allow("", "other_", threshold)).select("cls", "other")
+
+    links = labels = None
     for turn in range(_STAR_ROUNDS + 1):
         if turn == 0:
-            heads = found.where("cls = lead").select("token", F.col("cls").alias("head"), "n").groupBy("token").agg(F.min("n").alias("n"), F.min("head").alias("cls"))
-            pairs = found.alias("x").join(heads.alias("y"), "token").where("x.cls <> y.cls").where(_may_link("x", "y", threshold, False))
+            member = found.select("token", F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("head").alias("cls"), F.col("head_n").alias("n"), F.col("head_pos").alias("pos"), "size")
+            # a long list has a head for about every LIST_GROUP members, so that none is compared with all
+            part = F.expr(f"pmod(xxhash64(other), shiftleft(1L, cast(ceil(log2(size / {LIST_GROUP})) AS int)))")
+            long_ = member.where(f"size > {LIST_GROUP}").drop("cls", "n", "pos").withColumn("part", part)
+            head = long_.groupBy("token", "part").agg(F.min(F.struct(F.col("other").alias("cls"), F.col("other_n").alias("n"), F.col("other_pos").alias("pos"))).alias("head")).select("token", "part", "head.*")
+            pairs = member.where(f"size <= {LIST_GROUP}").drop("size").unionByName(long_.join(head, ["token", "part"]).drop("part", "size"))
+            pairs = allowed(pairs.where("cls <> other").where(_may_link("", "other_", threshold)).select("cls", "n", "other", "other_n"))
         else:
-            known = space.table(f"known{turn}", found.select("token", "cls", "n", "pos").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp")))
-            space.drop(f"known{turn - 1}")
+            # lists that still hold members of several components; the largest of these is the list's main one
+            known = found.select("token", "cls", "n", "pos").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
             groups = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n", "pos")).alias("m"))
-            main = groups.groupBy("token").agg(F.max(F.struct("size", "comp", "m")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main_comp"), F.col("main.m").alias("m"))
+            main = groups.groupBy("token").agg(F.max(F.struct("size", "comp", "m")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main_comp"), "main.m.*")
             if turn < _STAR_ROUNDS:
-                left = groups.select("token", "comp", "m.cls", "m.n", "m.pos").alias("x")
-                right = main.select("token", "main_comp", "m.cls", "m.n", "m.pos").alias("y")
-                pairs = left.join(right, "token").where("x.comp <> y.main_comp").where(_may_link("x", "y", threshold, True))
+                stray = groups.select("token", "comp", F.col("m.cls").alias("other"), F.col("m.n").alias("other_n"), F.col("m.pos").alias("other_pos"))
+                pairs = stray.join(main, "token").where("comp <> main_comp").where(_may_link("", "other_", threshold)).select("cls", "n", "other", "other_n")
+                pairs = allowed(pairs)
             else:
                 # all members that are not of their list's main component, against all of other components
-                stray = known.join(main.select("token", "main_comp"), "token").where("comp <> main_comp").drop("main_comp").alias("x")
-                pairs = stray.join(known.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp <> y.comp") & F.expr(_may_link("x", "y", threshold, True)))
-        pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("left")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("right")), "b")
-        new = space.table(f"links{turn}", both.select("a", "b", "left", "right").mapInArrow(_compare(threshold), "a long, b long"))
+                still = space.table("still", known.join(main.select("token", "main_comp"), "token").join(signs, "cls"))
+                stray = still.where("comp <> main_comp").select("token", F.col("comp").alias("other_comp"), F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), *[F.col(c).alias(f"other_{c}") for c in _SIGNS])
+                pairs = still.join(stray, "token").where("comp <> other_comp").where(_may_link("", "other_", threshold)).where(_signs_allow("", "other_", threshold)).select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
+        pairs = space.table(f"pairs{turn}", pairs)
+        new = _verify(rows, own, pairs, width, threshold, space, f"links{turn}")
+        space.drop(f"pairs{turn}")
         if turn and new.isEmpty():
-            if turn < _STAR_ROUNDS:
-                continue
-            break
+            continue
         links = new if links is None else links.unionByName(new)
         labels = space.table(f"labels{turn}", connected_components(links, name="jaccard-cc"))
-    space.drop("sets", "lists")
+    space.drop("lists", "still")
 
-    own = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     named = own.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     named = space.table("named", named)
     first = named.groupBy("comp").agg(F.min("least").alias("component"))

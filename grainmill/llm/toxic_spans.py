@@ -32,7 +32,7 @@ _U = np.uint64
 #: Lengths, in bytes, of the word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6)
 #: Documents of either label that fit the field, at most, in order of a hash of their ids.
-SAMPLE = 4_000
+SAMPLE = 1_500
 #: Pieces of text, of so many tokens, that fit the weights, at most.
 PIECES, PIECE = 20_000, 16
 #: Likelihood ratio above which a feature is bound to label 1; features at most.
@@ -116,13 +116,15 @@ def marginals(field: Field, score: np.ndarray, first: np.ndarray) -> tuple[np.nd
     return place, both[:, 1] / both.sum(1)
 
 
-def bound_features(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Features whose documents have label 1 far more often than others, ascending."""
+def bound_features(docs: list[np.ndarray], labels: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
+    """Of the distinct features of documents those whose documents have label 1 far more often than others, ascending.
+
+    ``clean_weight`` is the number of documents that one of label 0 stands for, to one of label 1.
+    """
     if not len(docs):
         return np.zeros(0, _U)
-    seen = [np.unique(f[f != 0]) for f in docs]
-    every = np.concatenate(seen)
-    label = np.repeat(labels, [len(s) for s in seen])
+    every = np.concatenate(docs)
+    label = np.repeat(labels, [len(s) for s in docs])
     feature, where = np.unique(every, return_inverse=True)
     a, n = np.bincount(where, label, len(feature)), np.bincount(where, minlength=len(feature)).astype(float)
     na, nn = float(labels.sum()), float(len(labels))
@@ -131,7 +133,7 @@ def bound_features(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1e-12) / np.maximum(of * rate, 1e-12))
 
     ratio = 2 * (part(a, n, np.full_like(n, na / nn)) + part(n - a, n, np.full_like(n, 1 - na / nn)) + part(na - a, nn - n, np.full_like(n, na / nn)) + part(nn - n - (na - a), nn - n, np.full_like(n, 1 - na / nn)))
-    good = np.flatnonzero((ratio >= _RATIO) & (a / n >= 0.8))
+    good = np.flatnonzero((ratio >= _RATIO) & (a >= 0.8 * (a + clean_weight * (n - a))))
     good = good[np.argsort(-ratio[good], kind="stable")[:_FEATURES]]
     return np.sort(feature[good])
 
@@ -174,40 +176,40 @@ def fit_field(features: np.ndarray, index: np.ndarray, toxic: np.ndarray, rounds
     return Field(features, theta[:k], theta[k : k + 2], theta[k + 2 :].reshape(2, 2))
 
 
-def train(texts: list[str | None], labels: list[int], pieces: int = PIECES) -> Field:
+def train(texts: list[str | None], labels: list[int], pieces: int = PIECES, clean_weight: float = 1.0) -> Field:
     """Label the tokens of labelled texts and fit the field. Copies, by their least shingle, count once."""
-    found, keys = [], []
+    seen, keys = [], []
     for _, words in chunks(pa.array(texts, pa.string()), ALNUM):
         every = token_features(words)
         shingle = sequence_hash(words.hash, 5)
         for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            found.append(every[a:b])
+            own = np.unique(every[a:b])
+            seen.append(own[own != 0])
             keys.append(int(shingle[a : b - 4].min()) if b - a > 5 else int(words.hash[a]) if b > a else 0)
     once = {(key, label): i for i, (key, label) in reversed(list(enumerate(zip(keys, labels, strict=True))))}
     chosen = sorted(once.values())
-    label = np.array([labels[i] for i in chosen], float)
-    features = bound_features([found[i] for i in chosen], label)
+    features = bound_features([seen[i] for i in chosen], np.array([labels[i] for i in chosen], float), clean_weight)
+    del seen
     index, toxic, plain = [], [], []
-    for i, y in zip(chosen, label, strict=True):
-        f = found[i]
-        if len(f) < PIECE or not len(features):
-            continue
-        at = np.searchsorted(features, f)
-        at[at == len(features)] = 0
-        at = np.where(features[at] == f, at, -1)
-        at = at[: len(at) // PIECE * PIECE].reshape(-1, PIECE, f.shape[1])
-        has = (at >= 0).any((1, 2))
-        index.append(at[has])
-        toxic.append((at[has] >= 0).any(2) & (y > 0))
-        plain.append(at[~has][:2])
+    for i in chosen if len(features) else ():
+        for _, words in chunks(pa.array([texts[i]], pa.string()), ALNUM):
+            f = token_features(words)
+            f = f[: len(f) // PIECE * PIECE]
+            at = np.searchsorted(features, f)
+            at[at == len(features)] = 0
+            at = np.where(features[at] == f, at, -1).astype(np.int32).reshape(-1, PIECE, f.shape[1])
+            has = (at >= 0).any((1, 2))
+            index.append(at[has])
+            toxic.append((at[has] >= 0).any(2) & (labels[i] > 0))
+            plain.append(at[~has][:2])
     if not index:
         return fit_field(features, np.zeros((0, PIECE, 1), int), np.zeros((0, PIECE)))
     index = [*index, *plain]
     toxic = [*toxic, *(np.zeros(p.shape[:2], bool) for p in plain)]
-    at, y = np.concatenate(index)[-pieces:], np.concatenate(toxic)[-pieces:]
-    if len(np.concatenate(index)) > pieces:
-        take = np.argsort(mix(np.arange(len(np.concatenate(index)), dtype=_U)))[:pieces]
-        at, y = np.concatenate(index)[take], np.concatenate(toxic)[take]
+    at, y = np.concatenate(index), np.concatenate(toxic)
+    if len(at) > pieces:
+        take = np.argsort(mix(np.arange(len(at), dtype=_U)))[:pieces]
+        at, y = at[take], y[take]
     return fit_field(features, at, y)
 
 
@@ -243,7 +245,9 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ids = known.where("label = 0").orderBy(order, "id").limit(sample).unionByName(known.where("label = 1").orderBy(order, "id").limit(sample))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id")).select("id", "label", "text").collect()
     rows.sort(key=lambda r: (r.id, r.text or ""))
-    return train([r.text for r in rows], [int(r.label) for r in rows])
+    totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    weight = (totals.get(0, 0) / max(1, min(sample, totals.get(0, 0)))) / (totals.get(1, 0) / max(1, min(sample, totals.get(1, 0))) or 1)
+    return train([r.text for r in rows], [int(r.label) for r in rows], clean_weight=max(weight, 1.0))
 
 
 def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

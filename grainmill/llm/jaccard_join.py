@@ -324,7 +324,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             # lists that still hold members of several components; the largest of these is the list's main one
             known = found.select("token", "cls", "n", "pos").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-            groups = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n", "pos")).alias("m"))
+            # each list and round has a member of its own stand for a component, so that a stray meets many
+            groups = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("cls", "n", "pos"), F.xxhash64(F.lit(turn), "token", "cls")).alias("m"))
             main = groups.groupBy("token").agg(F.max(F.struct("size", "comp", "m")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main_comp"), "main.m.*")
             if turn < _STAR_ROUNDS:
                 stray = groups.select("token", "comp", F.col("m.cls").alias("other"), F.col("m.n").alias("other_n"), F.col("m.pos").alias("other_pos"))

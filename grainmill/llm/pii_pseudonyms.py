@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations alone.
 
-Candidates are found by one pattern over the whole text, validated by kind, and
-replaced by a keyed Feistel permutation of their own format: digits stay digits
+Candidates are found by one pattern over the whole text, cut into the values that
+stand side by side in them, validated by kind, and replaced by a keyed Feistel permutation of their own format: digits stay digits
 in the same places, a card number passes the Luhn check again, an address is a
 valid address, a date is a date. The same value gives the same pseudonym in every
 document, written in any accepted way, so records stay linked; without the key
@@ -25,12 +25,31 @@ _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augu
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|(?:" + "|".join(_MONTHS) + r") [0-9]{1,2}, [0-9]{4})(?![0-9/-])"
+DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|(?<!\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.[0-9])|(?:" + "|".join(_MONTHS) + r") [0-9]{1,2}, [0-9]{4})(?![0-9/-])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,4}){2,7}(?![0-9A-Za-z])"
-NUMBER = r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,}(?:[ .-][0-9]{2,})*(?![0-9A-Za-z]|[.-][0-9])"
-PATTERN = "|".join((EMAIL, SECRET, IPV4, DATE, IBAN, CARD, PHONE, NUMBER))
+# Runs of values with spaces between them, as long as they go; ``_segments`` cuts them into single values.
+IBANS = IBAN.replace("{2,7}", "{2,40}")
+PHONES = r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:(?: (?![0-9]{1,2}/[0-9])|[.-])?[0-9]){5,80}(?![0-9A-Za-z])"
+_WORD = r"(?![0-9]{1,2}/[0-9])[0-9]{2,}+(?:[.-][0-9]++)*+(?![0-9A-Za-z])"
+NUMBERS = rf"(?<![0-9A-Za-z.+-])(?:\([0-9]{{2,4}}\)[ .-]?)?{_WORD}(?: {_WORD})*+(?: [0-9](?![0-9A-Za-z]|[./-][0-9]))?+"
+#: National digits of country codes that have one length only.
+_PLANS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "86": 11, "91": 10, "351": 9}
+#: Shapes that show where a value ends, whatever number follows it, and shapes that only end before one of those.
+_BOUND = "|".join(
+    (
+        *(rf"\+{code}[ .-]?(?:\(0\)[ .-]?)?(?:\([0-9]{{{k}}}\)(?:[ .-]?[0-9]){{{n - k}}})" for code, n in _PLANS.items() for k in (2, 3, 4)),
+        *(rf"\+{code}[ .-]?(?:\(0\)[ .-]?)?[0-9](?:[ .-]?[0-9]){{{n - 1}}}" for code, n in _PLANS.items()),
+        r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+        r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
+        r"[A-Z]{2}[0-9]{2}[0-9A-Z ]{11,}|[0-9]{13,19}",
+    )
+)
+_GROUPED_CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+_LOOSE = r"(?:\+[0-9]|\()[0-9 ().-]+|" + CARD.split(")", 1)[1].rsplit("(?!", 1)[0]
+#: Groups of a value, at most: those of an IBAN of 34 characters; a phone number has no more.
+_GROUPS = 9
+PATTERN = "|".join((EMAIL, SECRET, IPV4, DATE, IBANS, PHONES, NUMBERS))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,11 +129,12 @@ def _month_name(m: Column) -> Column:
 
 
 def parsed_date(m: Column) -> Column:
-    """The day of an ISO date, a month/day/year (day/month/year where only that is valid) or a ``Month D, YYYY``; else null."""
+    """The day of an ISO date, a month/day/year (day/month/year where only that is valid), a day.month.year or a ``Month D, YYYY``; else null."""
     iso = F.when(m.rlike("^[0-9]{4}-"), F.try_to_date(m, "yyyy-MM-dd"))
     slash = F.when(m.contains("/"), F.coalesce(F.try_to_date(m, "M/d/yyyy"), F.try_to_date(m, "d/M/yyyy")))
+    dotted = F.when(m.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"), F.try_to_date(m, "d.M.yyyy"))
     named = F.when(m.rlike("^[A-Z]"), F.try_to_date(m, "MMMM d, yyyy"))
-    day = F.coalesce(iso, slash, named)
+    day = F.coalesce(iso, slash, dotted, named)
     return F.when((day >= F.lit(_EPOCH).cast("date")) & (F.datediff(day, F.lit(_EPOCH).cast("date")) < _DAYS[0] * _DAYS[1]), day)
 
 
@@ -128,10 +148,11 @@ def _date(m: Column, key: str) -> Column:
 
         def show(new: Column) -> Column:
             monthly = F.try_to_date(m, "M/d/yyyy").isNotNull()
-            wide = m.rlike("^[0-9]{2}/[0-9]{2}/")
+            wide = m.rlike("^[0-9]{2}[/.][0-9]{2}[/.]")
             pad = lambda x: F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
             slash = F.when(monthly, F.concat_ws("/", pad(F.month(new)), pad(F.day(new)), F.year(new).cast("string"))).otherwise(F.concat_ws("/", pad(F.day(new)), pad(F.month(new)), F.year(new).cast("string")))
-            return F.when(m.contains("/"), slash).when(m.rlike("^[0-9]"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "MMMM d, yyyy"))
+            dotted = F.concat_ws(".", pad(F.day(new)), pad(F.month(new)), F.year(new).cast("string"))
+            return F.when(m.contains("/"), slash).when(m.contains("."), dotted).when(m.rlike("^[0-9]"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "MMMM d, yyyy"))
 
         return _let(mixed, lambda s: _let(F.date_add(first, (s["a"] * _DAYS[1] + s["b"]).cast("int")), show))
 
@@ -196,12 +217,55 @@ def kind_of(m: Column) -> Column:
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     plain = F.replace(m, F.lit(" "), F.lit(""))
     iban = whole(IBAN) & (F.length(plain).between(15, 34)) & (_mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
-    card = m.rlike(r"^[0-9](?:[ -]?[0-9])*$") & F.length(digits).between(13, 19)
+    card = m.rlike(r"^[0-9](?:[ -]?[0-9])*+$") & F.length(digits).between(13, 19)
     phone = m.rlike(r"^(?:\+[0-9]|\()") & F.length(digits).between(8, 15) | m.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")
     ssn = m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     return F.when(m.contains("@"), "email").when(whole(SECRET) & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret").when(whole(IPV4) & octets, "ip").when(parsed_date(m).isNotNull(), "date").when(iban, "iban").when(card & (luhn_sum(digits) % 10 == 0), "card").when(phone, "phone").when(ssn, "ssn").when(card, "account")
 
 
+def _segments(m: Column) -> Column:
+    """The values of a run, in order: texts between single spaces, and kinds (null if none).
+
+    A value whose shape shows its end goes before one that could take in what
+    follows; of several from one place the longest is taken. What is left between
+    them is a number of its own if it validates as a whole.
+    """
+    segment = "struct<text:string,kind:string>"
+    make = lambda text, kind: F.struct(text.cast("string").alias("text"), kind.cast("string").alias("kind"))
+    joined = lambda words, i, n: F.array_join(F.slice(words, i + 1, n), " ")
+
+    def window(text: Column, n: Column) -> Column:
+        kind = F.when(text.rlike(f"^(?:{_BOUND}|{_GROUPED_CARD}|{_LOOSE})$"), kind_of(text))
+        bound = text.rlike(f"^(?:{_BOUND})$") | (text.rlike(f"^(?:{_GROUPED_CARD})$") & (luhn_sum(F.regexp_replace(text, "[^0-9]", "")) % 10 == 0))
+        return _let(kind, lambda k: F.struct(F.when(k.isNull(), 0).when(bound, 2).otherwise(1).alias("rank"), n.alias("n"), k.alias("kind")))
+
+    def cut(words: Column) -> Column:
+        size = F.size(words)
+        windows = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(_GROUPS), size - i)), lambda n: window(joined(words, i, n), n)), lambda w: w["rank"] > 0))
+
+        def choose(all_: Column) -> Column:
+            free = lambda i, w: ~F.exists(F.slice(all_, i + 2, w["n"] - 1), lambda later: F.exists(later, lambda x: x["rank"] == 2))
+            best = F.transform(all_, lambda own, i: F.struct(i.alias("i"), F.array_max(F.filter(own, lambda w: (w["rank"] == 2) | free(i, w))).alias("w")))
+            start = F.struct(F.lit(0).alias("skip"), F.lit(None).cast("string").alias("rest"), F.array().cast(f"array<{segment}>").alias("out"))
+
+            def flushed(a: Column) -> Column:
+                return F.concat(a["out"], F.when(a["rest"].isNotNull(), F.array(make(a["rest"], F.lit("?")))).otherwise(F.array().cast(f"array<{segment}>")))
+
+            def step(a: Column, c: Column) -> Column:
+                word = F.get(words, c["i"])
+                state = lambda skip, rest, out: F.struct(skip.cast("int").alias("skip"), rest.cast("string").alias("rest"), out.alias("out"))
+                taken = state(c["w"]["n"] - 1, F.lit(None), F.concat(flushed(a), F.array(make(joined(words, c["i"], c["w"]["n"]), c["w"]["kind"]))))
+                single = state(F.lit(0), F.lit(None), F.concat(flushed(a), F.array(make(word, F.lit(None)))))
+                return F.when(a["skip"] > 0, state(a["skip"] - 1, a["rest"], a["out"])).when(c["w"].isNotNull(), taken).when(F.length(word) < 2, single).otherwise(state(F.lit(0), F.concat_ws(" ", a["rest"], word), a["out"]))
+
+            return F.transform(F.aggregate(best, start, step, flushed), lambda s: make(s["text"], F.when(s["kind"] == "?", kind_of(s["text"])).otherwise(s["kind"])))
+
+        return _let(windows, choose)
+
+    spaced = m.contains(" ") & ~m.rlike("^[A-Z][a-z]")
+    return F.when(spaced, _let(F.split(m, " "), cut)).otherwise(F.array(make(m, kind_of(m))))
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a match of a kind."""
     plain_digits = _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _refill(m, permute_digits(d, key, kind)))
@@ -215,7 +279,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Kinds: e-mail addresses, IPv4 addresses, dates from 1800 to 2199, IBANs, card
     numbers that pass the Luhn check, phone numbers with a country code or area
     code, social security numbers, other numbers of 13 to 19 digits (account), and
-    hexadecimal keys of 32 to 64 digits (secret).
+    hexadecimal keys of 32 to 64 digits (secret). Values with a space between them
+    are told apart by their kinds' own groups of digits; a phone number of a country
+    whose numbers differ in length may take in a short number behind it.
 
     Returns every input column, the text replaced, and ``pii`` (for each value
     replaced, in order: kind, and the pseudonym); an input column ``pii`` is
@@ -227,11 +293,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     hint = text.rlike(r"[0-9]{2}|[0-9]\.[0-9]|@|[0-9]/[0-9]|[0-9],? [0-9]|[0-9A-Fa-f]{32}")
 
     def one(m: Column) -> Column:
-        return _let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("value")))
+        return F.transform(_segments(m), lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["text"], s["kind"], key).alias("value")))
 
     found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), one)
     pieces = F.split(text, PATTERN, -1)
     marked = docs.withColumn("_pii_all", F.when(hint, found)).withColumn("_pii_pieces", F.when(hint, pieces))
-    joined = F.concat(F.array_join(F.zip_with("_pii_pieces", "_pii_all", lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), ""))
-    values = F.coalesce(F.filter("_pii_all", lambda v: v["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>"))
+    joined = F.concat(F.array_join(F.zip_with("_pii_pieces", "_pii_all", lambda p, run: F.concat(p, F.coalesce(F.array_join(F.transform(run, lambda v: v["value"]), " "), F.lit("")))), ""))
+    values = F.coalesce(F.filter(F.flatten("_pii_all"), lambda v: v["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>"))
     return marked.withColumn(text_col, F.when(F.size("_pii_all") > 0, joined).otherwise(text)).withColumn("pii", values).drop("_pii_all", "_pii_pieces")

@@ -25,6 +25,8 @@ from grainmill.plans.workspace import Workspace
 SHARD_BYTES = 64 << 20
 #: Stands in for a secret from the caller's key store.
 PSEUDONYM_KEY = "query-key"
+#: Words from which a single sentence that repeats is removed by itself.
+SENTENCE_WORDS = 50
 #: The vocabulary of token-id files.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -70,7 +72,7 @@ def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_spans(_read(spark, sf_dir, "documents"))
+    found = dedup_spans(_read(spark, sf_dir, "documents"), alone=SENTENCE_WORDS, whole=True)
     return found.select(F.col("id").alias("doc_id"), "text", F.col("n_sentences").cast("long").alias("n_sentences"), F.size("removed").cast("long").alias("n_removed_spans"), F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("removed_bytes"))
 
 

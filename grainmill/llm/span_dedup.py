@@ -3,7 +3,8 @@
 A text is cut into sentences at line ends and after closing punctuation. From
 every sentence on, and up to every sentence, the run of consecutive sentences
 that is just long enough (at least ``min_sentences`` of them and ``min_words``
-words) is hashed; runs with the same words are joined
+words) is hashed, and on demand every long sentence by itself and every text as a
+whole; runs with the same words are joined
 over all documents; and the sentences of every occurrence but the first, by
 document id and place, are removed.
 
@@ -50,18 +51,24 @@ def sentence_starts(words: Words) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-def _spans(words: Words, starts: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last sentence (chunk-wide numbers) of the least long-enough run from, and up to, every sentence."""
+def _spans(words: Words, starts: np.ndarray, min_sentences: int, min_words: int, alone: int | None = None, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last sentence (chunk-wide numbers) of the least long-enough run from, and up to, every sentence.
+
+    Also of sentences of ``alone`` words or more, and, if ``whole``, of whole texts.
+    """
     n = len(starts)
-    if n < min_sentences:
+    if not n:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(words.hash))
     every = np.arange(n)
     ahead = np.maximum(every + min_sentences - 1, np.searchsorted(ends, starts + min_words))
     back = np.minimum(every - min_sentences + 1, np.searchsorted(starts, ends - min_words, "right") - 1)
-    runs = np.unique(np.concatenate([every << 32 | ahead, back[back >= 0] << 32 | every[back >= 0]]))
-    first, last = runs >> 32, runs & 0xFFFFFFFF
     doc = np.searchsorted(words.first, starts, "right") - 1
+    long_ = every[ends - starts >= alone] if alone is not None else every[:0]
+    heads = every[np.diff(doc, prepend=-1) > 0] if whole else every[:0]
+    tails = np.append(heads[1:], n)[: len(heads)] - 1
+    runs = np.unique(np.concatenate([every << 32 | ahead, back[back >= 0] << 32 | every[back >= 0], long_ << 32 | long_, heads << 32 | tails]))
+    first, last = runs >> 32, runs & 0xFFFFFFFF
     inside = (last < n) & (doc[first] == doc[np.minimum(last, n - 1)])
     first, last = first[inside], last[inside]
     # polynomial sums over the words: any run's hash from two of them
@@ -77,13 +84,13 @@ def _spans(words: Words, starts: np.ndarray, min_sentences: int, min_words: int)
     return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93)), first, last
 
 
-def _emit_spans(min_sentences: int, min_words: int):
+def _emit_spans(min_sentences: int, min_words: int, alone: int | None, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, words in chunks(batch.column(1), SPACED):
                 starts = sentence_starts(words)
-                span, first, last = _spans(words, starts, min_sentences, min_words)
+                span, first, last = _spans(words, starts, min_sentences, min_words, alone, whole)
                 if not len(span):
                     continue
                 doc = np.searchsorted(words.first, starts[first], "right") - 1
@@ -137,25 +144,28 @@ def _lead(data: bytes) -> int:
     return len(data) - len(data.lstrip(b"\t\n\x0b\x0c\r "))
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20, alone: int | None = None, whole: bool = False) -> DataFrame:
     """Remove sentences inside any repeated run of sentences, but at its first occurrence.
 
     Words compare with A-Z lower-cased and white space ignored. The first
     occurrence is the one with the least id, then the earliest in the text; a run
     that repeats inside one document loses its later occurrences as well. A run
-    is removed even if it overlaps the first occurrence of another run.
+    is removed even if it overlaps the first occurrence of another run. A run has
+    at least ``min_sentences`` sentences and ``min_words`` words; with ``alone``, a
+    single sentence of so many words is one too, and with ``whole`` so is every
+    text as a whole, however short.
 
     Returns one row per input row: ``id``, ``text`` (what is left, byte for byte),
     ``n_sentences`` and ``removed`` (byte ranges of the original text). Null
-    texts stay null and empty ones empty, with no sentences. A text that repeats
-    an earlier one wholly is left empty. Rows that repeat an id are told apart by
+    texts stay null and empty ones empty, with no sentences. With
+    ``whole``, a text that repeats an earlier one wholly is left empty. Rows that repeat an id are told apart by
     their texts; equal rows of one id are one document and keep the same
     sentences. Ids are integers, not null. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "spans")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = rows.mapInArrow(_emit_spans(min_sentences, min_words), "span long, id long, first int, last int")
+    spans = rows.mapInArrow(_emit_spans(min_sentences, min_words, alone, whole), "span long, id long, first int, last int")
     known = spans.select("span", F.struct("id", F.expr("shiftleft(cast(first AS bigint), 32) | last").alias("place")).alias("at"))
     # summed before the shuffle; the join that follows lets Spark split a span that very many documents share
     heads = known.groupBy("span").agg(F.min("at").alias("head"), F.max("at").alias("tail")).where("head <> tail").select("span", "head")

@@ -175,6 +175,21 @@ def test_spans(spark, odd, empty, documents):
     assert got[1].text == "Start. " + passage and got[2].text == "Other start here.\nEnd of it." and len(got[2].removed) == 1
 
 
+def test_spans_of_one_sentence_and_whole_texts(spark, odd, tmp_path):
+    """The query also removes a long passage that is one sentence, and whole copies of any length."""
+    from grainmill.llm.queries import op7_sentence_span_dedup
+
+    passage = " ".join(f"w{i}" for i in range(51)) + "."
+    below = " ".join(f"v{i}" for i in range(49)) + "."
+    texts = ["One. " + passage + " Two.", "Three. " + passage.upper() + " Four.", passage, "Five. " + below, "Six. " + below, "Short one.", "short  ONE.", "Short one. More.", "é", "é", "", None, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op7_sentence_span_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(len(texts))] == [texts[0], "Three. Four.", "", texts[3], texts[4], texts[5], "", texts[7], "é", "", "", None, "", None]
+    left = {r.id: r.text for r in dedup_spans(odd, alone=50, whole=True).collect()}
+    whole = {r.doc_id: r.text for r in odd.collect()}
+    assert left == whole | {8: "", 10: ""}
+
+
 def test_digest(documents, spark, data):
     from grainmill.llm.queries import op8_benchmark_decontamination
 

@@ -138,10 +138,11 @@ def bound_features(docs: list[np.ndarray], labels: np.ndarray, clean_weight: flo
     return np.sort(feature[good])
 
 
-def fit_field(features: np.ndarray, index: np.ndarray, toxic: np.ndarray, rounds: int = 150, penalty: float = 0.02) -> Field:
+def fit_field(features: np.ndarray, index: np.ndarray, toxic: np.ndarray, rounds: int = 150, penalty: float = 0.02, real: np.ndarray | None = None) -> Field:
     """Maximise the likelihood of labelled pieces [piece, token] by Adam steps over exact marginals.
 
     ``index`` [piece, token, slot] are positions in ``features``, or -1; ``toxic`` the tokens' labels.
+    ``real`` is false behind the last token of a shorter piece; all are tokens without it.
     """
     k = len(features)
     theta = np.zeros(k + 6)
@@ -149,8 +150,9 @@ def fit_field(features: np.ndarray, index: np.ndarray, toxic: np.ndarray, rounds
     if not pieces:
         return Field(features, np.zeros(k), np.array([0.0, -8.0]), np.array([[0.0, -8.0], [0.0, -8.0]]))
     used = index >= 0
+    real = np.ones(toxic.shape, bool) if real is None else real
     slot = np.where(used, index, k)
-    hot = np.stack([1 - toxic, toxic], 2).astype(float)
+    hot = np.stack([1 - toxic, toxic], 2).astype(float) * real[:, :, None]
     want = np.r_[np.bincount(slot.ravel(), np.repeat(toxic.ravel(), index.shape[2]), k + 1)[:k], hot[:, 0].sum(0), np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:]).ravel()]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for turn in range(1, rounds + 1):
@@ -160,15 +162,15 @@ def fit_field(features: np.ndarray, index: np.ndarray, toxic: np.ndarray, rounds
         forward, backward = np.empty((pieces, length, 2)), np.ones((pieces, length, 2))
         state = start * emit[:, 0]
         for t in range(length):
-            state = state if t == 0 else (forward[:, t - 1] @ step) * emit[:, t]
+            state = state if t == 0 else np.where(real[:, t, None], (forward[:, t - 1] @ step) * emit[:, t], forward[:, t - 1])
             forward[:, t] = state / state.sum(1, keepdims=True)
         for t in range(length - 2, -1, -1):
-            state = (emit[:, t + 1] * backward[:, t + 1]) @ step.T
+            state = np.where(real[:, t + 1, None], (emit[:, t + 1] * backward[:, t + 1]) @ step.T, backward[:, t + 1])
             backward[:, t] = state / state.sum(1, keepdims=True)
         node = forward * backward
         node /= node.sum(2, keepdims=True)
         pair = forward[:, :-1, :, None] * step * (emit * backward)[:, 1:, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
+        pair *= real[:, 1:, None, None] / pair.sum((2, 3), keepdims=True)
         have = np.r_[np.bincount(slot.ravel(), np.repeat(node[:, :, 1].ravel(), index.shape[2]), k + 1)[:k], node[:, 0].sum(0), pair.sum((0, 1)).ravel()]
         slope = want - have - penalty * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
@@ -190,11 +192,12 @@ def train(texts: list[str | None], labels: list[int], pieces: int = PIECES, clea
     chosen = sorted(once.values())
     features = bound_features([seen[i] for i in chosen], np.array([labels[i] for i in chosen], float), clean_weight)
     del seen
-    index, toxic, plain = [], [], []
+    index, toxic, plain, sizes, plain_sizes = [], [], [], [], []
     for i in chosen if len(features) else ():
         for _, words in chunks(pa.array([texts[i]], pa.string()), ALNUM):
             f = token_features(words)
-            f = f[: len(f) // PIECE * PIECE]
+            count = len(f)
+            f = np.pad(f, ((0, -count % PIECE), (0, 0)))
             at = np.searchsorted(features, f)
             at[at == len(features)] = 0
             at = np.where(features[at] == f, at, -1).astype(np.int32).reshape(-1, PIECE, f.shape[1])
@@ -202,15 +205,19 @@ def train(texts: list[str | None], labels: list[int], pieces: int = PIECES, clea
             index.append(at[has])
             toxic.append((at[has] >= 0).any(2) & (labels[i] > 0))
             plain.append(at[~has][:2])
+            size = np.minimum(count - np.arange(len(at)) * PIECE, PIECE)
+            sizes.append(size[has])
+            plain_sizes.append(size[~has][:2])
     if not index:
         return fit_field(features, np.zeros((0, PIECE, 1), int), np.zeros((0, PIECE)))
     index = [*index, *plain]
     toxic = [*toxic, *(np.zeros(p.shape[:2], bool) for p in plain)]
     at, y = np.concatenate(index), np.concatenate(toxic)
+    real = np.arange(PIECE) < np.concatenate([*sizes, *plain_sizes])[:, None]
     if len(at) > pieces:
         take = np.argsort(mix(np.arange(len(at), dtype=_U)))[:pieces]
-        at, y = at[take], y[take]
-    return fit_field(features, at, y)
+        at, y, real = at[take], y[take], real[take]
+    return fit_field(features, at, y, real=real)
 
 
 def _score(shared):

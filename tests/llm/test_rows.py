@@ -137,6 +137,33 @@ def test_toxicity_held_out(spark, odd, empty):
     assert TX.score_toxicity(docs, none).agg(F.count_distinct("score")).first()[0] == 1
 
 
+def test_toxicity_of_short_texts_and_tails(spark):
+    """Texts under the length of a piece, and words only behind the last full one, are learnt from."""
+    rng = np.random.default_rng(4)
+    for size in (7, TX.PIECE + 7):
+        rows, labels = [], []
+        for i in range(400):
+            w = [f"{k}word" for k in rng.integers(0, 300, size)]
+            if i % 4 == 0:
+                w[-1 - i % 5] = ["zarg", "blorp"][i // 4 % 2]
+            rows.append((i, " ".join(w)))
+            labels.append((i, int(i % 4 == 0)))
+        docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+        field = TX.train_on(docs, known.where("doc_id < 300"))
+        got = {r.id: r.score for r in TX.score_toxicity(docs, field).collect()}
+        assert all((got[i] >= 0.7) == bool(y) for i, y in labels[300:]), size
+
+
+def test_padding_does_not_change_the_fit():
+    rng = np.random.default_rng(6)
+    index, toxic = rng.integers(-1, 4, (30, 5, 2)), rng.random((30, 5)) < 0.3
+    features = np.arange(1, 5, dtype=np.uint64)
+    want = TX.fit_field(features, index, toxic)
+    padded = np.pad(index, ((0, 0), (0, 3), (0, 0)), constant_values=-1)
+    got = TX.fit_field(features, padded, np.pad(toxic, ((0, 0), (0, 3))), real=np.arange(8) < np.full((30, 1), 5))
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.start, want.start) and np.allclose(got.steps, want.steps)
+
+
 # mixture
 
 

@@ -195,6 +195,14 @@ def bm25_spans(spark, sf_dir):
     return R.bm25(spans, docs.select("doc_id", F.left("text", F.lit(200)).alias("query"))).select("doc_id", "span", F.round("score", 6).alias("score"))
 
 
+@register("bm25_spans_whole")
+def bm25_spans_whole(spark, sf_dir):
+    """Lines of every document, in any language, against its whole text."""
+    docs = _docs(spark, sf_dir)
+    spans = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("span", "text"))
+    return R.bm25(spans, docs.select("doc_id", F.col("text").alias("query"))).select("doc_id", "span", F.round("score", 6).alias("score"))
+
+
 @register("packed_spans")
 def packed_spans(spark, sf_dir):
     """Lines by length, then place, packed into 600 characters."""

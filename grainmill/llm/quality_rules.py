@@ -64,7 +64,8 @@ def repeat_words(words: Column) -> Column:
 
     Windows are compared by 64-bit hashes. In texts with any repeat the hashes are
     sorted beside their places, leading bits of the one and the place in a single
-    number; neighbours are then compared by their whole hashes.
+    number; neighbours are then compared by their whole hashes. Where two unlike
+    hashes share those bits, whole hashes are sorted instead.
     """
 
     def covered(h: Column) -> Column:
@@ -79,8 +80,17 @@ def repeat_words(words: Column) -> Column:
                 other = F.get(packed, k + step)
                 return F.coalesce(F.get(h, p.bitwiseAND(m).cast("int")) == F.get(h, other.bitwiseAND(m).cast("int")), F.lit(False))
 
+            def clash(p: Column, k: Column) -> Column:
+                return (p.bitwiseAND(F.bitwise_not(m)) == F.get(packed, k + 1).bitwiseAND(F.bitwise_not(m))) & ~same(p, k, 1)
+
+            def by_hash(pairs: Column) -> Column:
+                equal = lambda p, k, step: F.coalesce(p["h"] == F.get(pairs, k + step)["h"], F.lit(False))
+                return F.transform(F.filter(pairs, lambda p, k: equal(p, k, -1) | equal(p, k, 1)), lambda p: p["i"])
+
             hit = F.filter(packed, lambda p, k: same(p, k, -1) | same(p, k, 1))
-            places = F.sort_array(F.transform(hit, lambda p: p.bitwiseAND(m)))
+            pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+            clashes = F.size(F.filter(packed, clash)) > 0
+            places = F.sort_array(F.when(clashes, _let(pairs, by_hash)).otherwise(F.transform(hit, lambda p: p.bitwiseAND(m))))
             return _let(places, lambda s: F.aggregate(F.transform(s, lambda p, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, k + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
 
         packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))

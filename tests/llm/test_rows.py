@@ -315,6 +315,13 @@ def test_counts(spark, odd, empty):
     assert QR.judge_quality(empty).count() == 0
 
 
+def test_repeats_of_a_very_long_text(spark):
+    """Above 2^20 words unlike windows share the bits that are sorted; every repeat still counts."""
+    n = 300_000
+    words = F.expr(f"flatten(transform(sequence(0, {2 * n - 1}), i -> array('a' || (i % {n}), 'b' || (i % {n}), 'c' || (i % {n}), 'u' || i)))")
+    assert spark.range(1).select(QR.repeat_words(words).alias("r")).first().r == 6 * n
+
+
 def test_em_recovers_rates():
     rng = np.random.default_rng(2)
     good, bad = (0.999, 0.998, 0.999), (0.8, 0.6, 0.4)

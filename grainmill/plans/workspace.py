@@ -3,8 +3,9 @@
 Iterative operators cut their lineage by writing Parquet under
 ``spark.checkpoint.dir`` and reading it back. Each table is computed once,
 survives the loss of any executor, and reports exact row counts to the
-planner. Only where the setting is absent (tests, notebooks) a local folder is
-chosen and stored in the session.
+planner. Where the setting is absent a local master (tests, notebooks) gets a
+local folder, stored in the session; a cluster is refused, for its executors
+would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -12,25 +13,46 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Spark then removes the shuffle files of a query when it ends; what it wrote is on the shared folder by then.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a new temporary one if none is set."""
+    """The session's checkpoint folder; under a local master, a new temporary one if none is set."""
     folder = spark.conf.get(_KEY, None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get().rstrip("/")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share (master {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="grainmill-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
     return folder.rstrip("/")
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
 class Workspace:
     """A folder of written tables that one operator call uses.
 
@@ -47,7 +69,8 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with freeing(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

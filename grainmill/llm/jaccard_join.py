@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm._bytes import SPACED, chunks, mix, shingle_sets
 from grainmill.operators.components import connected_components
-from grainmill.plans.workspace import Workspace
+from grainmill.plans.workspace import Workspace, freeing
 
 #: log2 of the cells of the rarity sketch; 4 MB of counters at any corpus size.
 SKETCH_BITS = 20
@@ -45,13 +45,19 @@ _STAR_ROUNDS = 2
 LIST_GROUP = 256
 _SUBSET = np.uint64(0xA0761D6478BD642F)
 
-#: Words of a class's parity signature: bit i is the parity of its shingles that hash to i.
-_SIGNS = [f"s{i}" for i in range(8)]
-_SUMMARY = "id long, n int, cls long, piece int, cells binary, " + ", ".join(f"{c} long" for c in _SIGNS)
-_SUMMARY_NAMES = [c.split()[0] for c in _SUMMARY.split(", ")]
+_SUMMARY_NAMES = ["id", "n", "cls", "sign", "piece", "cells"]
+_SUMMARY = "id long, n int, cls long, sign binary, piece int, cells binary"
 _POSTING = "token long, cls long, n int, pos int"
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    return pa.compress(pa.py_buffer(np.ascontiguousarray(x)), codec="zstd", asbytes=True)
+
+
+def _expand(data: pa.Buffer | bytes, dtype: str, cells: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=cells * np.dtype(dtype).itemsize, codec="zstd"), dtype)
+
+
 def _class_of(shingles: np.ndarray) -> int:
     """One signed 64-bit name of a whole set."""
     with np.errstate(over="ignore"):
@@ -59,10 +65,19 @@ def _class_of(shingles: np.ndarray) -> int:
         return int(mix(np.array([total ^ np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
-def _signature(shingles: np.ndarray) -> np.ndarray:
-    bits = 64 * len(_SIGNS)
+def _signature(shingles: np.ndarray) -> bytes:
+    """Parities: bit i is that of the number of shingles that hash to i; about as many bits as shingles."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
+    return np.packbits(odd).tobytes()
+
+
+def _differing(a: pa.Buffer, b: pa.Buffer) -> int:
+    """Parities that differ, the longer signature folded to the length of the shorter: at most the shingles that only one set has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(s.reshape(-1, size)) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _summaries(width: int):
@@ -74,16 +89,15 @@ def _summaries(width: int):
                 found = list(shingle_sets(words, width))
                 size += map(len, found)
                 name += [_class_of(s) if len(s) else 0 for s in found]
-                sign += [_signature(s) for s in found]
+                sign += [_signature(s) if len(s) else None for s in found]
                 if found:
                     cells += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
             none = pa.nulls(len(size), pa.int32())
-            signs = np.stack(sign, 1) if sign else np.zeros((len(_SIGNS), 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), none, pa.nulls(len(size), pa.binary()), *map(pa.array, signs)], _SUMMARY_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), pa.array(sign, pa.binary()), none, pa.nulls(len(size), pa.binary())], _SUMMARY_NAMES)
         used = [(i, part) for i, part in enumerate(np.split(cells, _PIECES)) if part.any()]
         if used:
             empty = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.nulls(len(used), pa.int32()), empty, pa.array([i for i, _ in used], pa.int32()), pa.array([np.minimum(p, 2**31 - 1).astype("<u4").tobytes() for _, p in used], pa.binary()), *[empty] * len(_SIGNS)], _SUMMARY_NAMES)
+            yield pa.RecordBatch.from_arrays([empty, pa.nulls(len(used), pa.int32()), empty, pa.nulls(len(used), pa.binary()), pa.array([i for i, _ in used], pa.int32()), pa.array([_squeeze(np.minimum(p, 2**31 - 1).astype("<u4")) for _, p in used], pa.binary())], _SUMMARY_NAMES)
 
     return run
 
@@ -92,7 +106,7 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(cells.as_buffer(), "<u4").astype(np.int64)
+            part = _expand(cells.as_buffer(), "<u4", (1 << SKETCH_BITS) // _PIECES).astype(np.int64)
             total[piece] = total[piece] + part if piece in total else part
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], ["piece", "cells"])
@@ -104,6 +118,22 @@ def _needed(n: int, threshold: tuple[int, int]) -> int:
     return -(-num * n // den)
 
 
+def _alone(n: int, threshold: tuple[int, int]) -> bool:
+    """Whether a set of n shingles links with equal sets only, which are of its own class."""
+    num, den = threshold
+    return den * n < num * (n + 1)
+
+
+def _in_lists(n: int, boundary: int, threshold: tuple[int, int]) -> bool:
+    """Whether a set may link with a heavy one, or with one so small that a single shingle is overlap enough."""
+    num, den = threshold
+    return n * den > boundary * num or _needed(_needed(n, threshold), threshold) < 2
+
+
+def _in_pairs(n: int, boundary: int, threshold: tuple[int, int]) -> bool:
+    return n <= boundary and _needed(n, threshold) >= 2
+
+
 def _lead(n: int, common: int, threshold: tuple[int, int]) -> int:
     """How many leading shingles hold ``common`` of those shared with any partner."""
     return min(n, n - _needed(n, threshold) + common)
@@ -115,15 +145,16 @@ def choose_boundary(sizes: list[tuple[int, int]], repeats: float, threshold: tup
     An enumerated subset costs one row. A posting costs one row, and ``repeats``
     further ones for the members of its list that it will be compared with.
     """
-    num, den = threshold
 
     def cost(b: int) -> float:
         total = 0.0
         for n, count in sizes:
-            if 2 < n <= b:
+            if _alone(n, threshold):
+                continue
+            if _in_pairs(n, b, threshold):
                 p = _lead(n, 2, threshold)
                 total += count * p * (p - 1) / 2
-            if n * den > b * num:
+            if _in_lists(n, b, threshold):
                 total += count * _lead(n, 1, threshold) * (1 + repeats)
         return total
 
@@ -131,8 +162,6 @@ def choose_boundary(sizes: list[tuple[int, int]], repeats: float, threshold: tup
 
 
 def _postings(width: int, boundary: int, threshold: tuple[int, int], sketch):
-    num, den = threshold
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(sketch.value, "<u4")
         seen: set[int] = set()
@@ -141,7 +170,7 @@ def _postings(width: int, boundary: int, threshold: tuple[int, int], sketch):
                 tokens, owner, size, place = [], [], [], []
                 for s in shingle_sets(words, width):
                     n = len(s)
-                    if n < 2:  # only an equal set, which is of the same class, can link
+                    if _alone(n, threshold):
                         continue
                     name = _class_of(s)
                     if name in seen:
@@ -149,13 +178,13 @@ def _postings(width: int, boundary: int, threshold: tuple[int, int], sketch):
                     if len(seen) < 1_000_000:
                         seen.add(name)
                     rare = s[np.argsort(cells[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: _lead(n, 2, threshold)]]
-                    if n * den > boundary * num:
+                    if _in_lists(n, boundary, threshold):
                         p = _lead(n, 1, threshold)
                         tokens.append(rare[:p])
                         place.append(np.arange(p, dtype=np.int32))
                         owner.append(np.full(p, name, np.int64))
                         size.append(np.full(p, n, np.int32))
-                    if 2 < n <= boundary:
+                    if _in_pairs(n, boundary, threshold):
                         i, j = np.triu_indices(len(rare), 1)
                         low, high = np.minimum(rare[i], rare[j]), np.maximum(rare[i], rare[j])
                         tokens.append(mix(low * _SUBSET ^ high))
@@ -180,8 +209,22 @@ def _filter_pieces(bits: int):
         for batch in batches:
             for at in _bits(batch.column(0).to_numpy(), bits):
                 own[at] = True
-        if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
+        used = [(i, part) for i, part in enumerate(np.split(np.packbits(own), _PIECES)) if part.any()]
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in used], pa.int32()), pa.array([_squeeze(p) for _, p in used], pa.binary())], ["piece", "bits"])
+
+    return run
+
+
+def _join_bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = _expand(data.as_buffer(), "u1", (1 << bits >> 3) // _PIECES)
+                total[piece] = total[piece] | part if piece in total else part
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "bits"])
 
     return run
 
@@ -195,7 +238,7 @@ def _sets(width: int, bits: int, wanted):
             for at in _bits(ids, bits):
                 needed &= (keep[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             for _, words in chunks(batch.column(1).filter(pa.array(needed)), SPACED):
-                found = [s for s in shingle_sets(words, width) if len(s) > 1]
+                found = [s for s in shingle_sets(words, width) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], ["cls", "items"])
 
@@ -232,13 +275,15 @@ def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, t
     ends = pairs.select("cls").unionByName(pairs.select(F.col("other").alias("cls"))).distinct()
     needed = classes.join(ends, "cls", "left_semi").select("least")
     bits = min(max(_FILTER_BITS[0], math.ceil(math.log2(8 * max(needed.count(), 1)))), _FILTER_BITS[1])
-    merged = np.zeros(1 << bits >> 3, np.uint8)
-    for part in needed.coalesce(8).mapInArrow(_filter_pieces(bits), "bits binary").toLocalIterator():
-        merged |= np.frombuffer(part.bits, np.uint8)
-    wanted = spark.sparkContext.broadcast(merged.tobytes())
+    schema, size = "piece int, bits binary", (1 << bits >> 3) // _PIECES
+    with freeing(spark):
+        pieces = {r.piece: bytes(r.bits) for r in needed.mapInArrow(_filter_pieces(bits), schema).repartition("piece").mapInArrow(_join_bits(bits), schema).collect()}
+    wanted = spark.sparkContext.broadcast(b"".join(pieces.get(i, bytes(size)) for i in range(_PIECES)))
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"grainmill_sets_{uuid.uuid4().hex}"
     sets = rows.mapInArrow(_sets(width, bits, wanted), "cls long, items binary").repartition(buckets, "cls")
-    sets.write.format("parquet").bucketBy(buckets, "cls").option("path", space.path("sets")).saveAsTable(table)
+    with freeing(spark):
+        sets.write.format("parquet").bucketBy(buckets, "cls").option("path", space.path("sets")).saveAsTable(table)
+    wanted.unpersist()
     try:
         sets = spark.table(table)
         both = pairs.join(sets.select(F.col("cls").alias("other"), F.col("items").alias("right")), "other").join(sets.select("cls", F.col("items").alias("left")), "cls")
@@ -262,11 +307,17 @@ def _may_link(a: str, b: str, threshold: tuple[int, int]) -> str:
     return f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) AND {num + den} * least({a}n - {a}pos, {b}n - {b}pos) >= {num} * ({a}n + {b}n)"
 
 
-def _signs_allow(a: str, b: str, threshold: tuple[int, int]) -> str:
-    """Differing parities are at most the elements that only one set has, of which linked sets have few."""
+def _alike(threshold: tuple[int, int]):
+    """Keeps pairs that their signatures allow to link: linked sets have few shingles that only one of them has."""
     num, den = threshold
-    differ = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in _SIGNS)
-    return f"{den + num} * ({differ}) <= {den - num} * ({a}n + {b}n)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = [(den + num) * _differing(x.as_buffer(), y.as_buffer()) <= (den - num) * n for n, x, y in zip(both.tolist(), batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["cls", "other"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -287,12 +338,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     space = Workspace(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     summary = space.table("summary", rows.mapInArrow(_summaries(width), _SUMMARY))
-    members = summary.where("piece IS NULL").select("id", "n", "cls", *_SIGNS)
+    members = summary.where("piece IS NULL").select("id", "n", "cls", "sign")
 
-    pieces = {r.piece: bytes(r.cells) for r in summary.where("piece IS NOT NULL").select("piece", "cells").repartition("piece").mapInArrow(_add_cells, "piece int, cells binary").collect()}
+    with freeing(spark):
+        pieces = {r.piece: bytes(r.cells) for r in summary.where("piece IS NOT NULL").select("piece", "cells").repartition("piece").mapInArrow(_add_cells, "piece int, cells binary").collect()}
     sketch = b"".join(pieces.get(i, bytes(4 << SKETCH_BITS - 6)) for i in range(_PIECES))
     # sizes by steps of an eighth: a few hundred rows for any corpus
-    sizes = members.where("n > 1").groupBy(F.expr("CASE WHEN n < 128 THEN n ELSE cast(floor(power(2, floor(log2(n) * 8) / 8)) AS int) END").alias("n")).count().collect()
+    sizes = members.where("n > 0").groupBy(F.expr("CASE WHEN n < 128 THEN n ELSE cast(floor(power(2, floor(log2(n) * 8) / 8)) AS int) END").alias("n")).count().collect()
     counts = np.frombuffer(sketch, "<u4").astype(float)
     repeats = max(0.0, float((counts * counts).sum() / max(counts.sum(), 1) - counts.mean() - 1))
     boundary = choose_boundary([(r["n"], r["count"]) for r in sizes], min(repeats, 64.0), threshold)
@@ -304,12 +356,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = postings.join(heads.hint("shuffle_hash"), "token").select("token", "cls", _high("place").alias("n"), _low("place").alias("pos"), F.col("head.cls").alias("head"), _high("head.place").alias("head_n"), _low("head.place").alias("head_pos"), "size")
     found = space.table("lists", found)
 
-    own = space.table("classes", members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in _SIGNS]))
-    signs = own.select("cls", *_SIGNS)
-    others = own.select(F.col("cls").alias("other"), *[F.col(c).alias(f"other_{c}") for c in _SIGNS])
+    own = space.table("classes", members.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "sign")).alias("m")).select("cls", F.col("m.id").alias("least"), "m.sign"))
+    signs = own.select("cls", F.col("sign").alias("left"))
+    others = own.select(F.col("cls").alias("other"), F.col("sign").alias("right"))
 
     def allowed(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(signs, "cls").join(others, "other").where(_signs_allow("", "other_", threshold)).select("cls", "other")
+        both = pairs.where(_may_link("", "other_", threshold)).select("cls", "other", "n", "other_n").distinct().join(signs, "cls").join(others, "other")
+        return both.select("cls", "other", "n", "other_n", "left", "right").mapInArrow(_alike(threshold), "cls long, other long")
 
     links = labels = None
     for turn in range(_STAR_ROUNDS + 1):
@@ -320,22 +373,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             long_ = member.where(f"size > {LIST_GROUP}").drop("cls", "n", "pos").withColumn("part", part)
             head = long_.groupBy("token", "part").agg(F.min(F.struct(F.col("other").alias("cls"), F.col("other_n").alias("n"), F.col("other_pos").alias("pos"))).alias("head")).select("token", "part", "head.*")
             pairs = member.where(f"size <= {LIST_GROUP}").drop("size").unionByName(long_.join(head, ["token", "part"]).drop("part", "size"))
-            pairs = allowed(pairs.where("cls <> other").where(_may_link("", "other_", threshold)).select("cls", "n", "other", "other_n"))
+            pairs = allowed(pairs.where("cls <> other"))
         else:
             # lists that still hold members of several components; the largest of these is the list's main one
-            known = found.select("token", "cls", "n", "pos").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+            # (the only pair of a list of two was compared in the first round)
+            known = found.where("size > 2").select("token", "cls", "n", "pos").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
             # each list and round has a member of its own stand for a component, so that a stray meets many
             groups = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("cls", "n", "pos"), F.xxhash64(F.lit(turn), "token", "cls")).alias("m"))
             main = groups.groupBy("token").agg(F.max(F.struct("size", "comp", "m")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main_comp"), "main.m.*")
             if turn < _STAR_ROUNDS:
                 stray = groups.select("token", "comp", F.col("m.cls").alias("other"), F.col("m.n").alias("other_n"), F.col("m.pos").alias("other_pos"))
-                pairs = stray.join(main, "token").where("comp <> main_comp").where(_may_link("", "other_", threshold)).select("cls", "n", "other", "other_n")
-                pairs = allowed(pairs)
+                pairs = allowed(stray.join(main, "token").where("comp <> main_comp"))
             else:
                 # all members that are not of their list's main component, against all of other components
-                still = space.table("still", known.join(main.select("token", "main_comp"), "token").join(signs, "cls"))
-                stray = still.where("comp <> main_comp").select("token", F.col("comp").alias("other_comp"), F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), *[F.col(c).alias(f"other_{c}") for c in _SIGNS])
-                pairs = still.join(stray, "token").where("comp <> other_comp").where(_may_link("", "other_", threshold)).where(_signs_allow("", "other_", threshold)).select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
+                still = space.table("still", known.join(main.select("token", "main_comp"), "token"))
+                stray = still.where("comp <> main_comp").select("token", F.col("comp").alias("other_comp"), F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
+                met = still.join(stray, "token").where("comp <> other_comp").where("comp = main_comp OR cls < other")
+                pairs = allowed(met)
         pairs = space.table(f"pairs{turn}", pairs)
         new = _verify(rows, own, pairs, width, threshold, space, f"links{turn}")
         space.drop(f"pairs{turn}")

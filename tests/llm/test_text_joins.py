@@ -53,7 +53,7 @@ def test_word_tables():
     assert found == [(t or "").encode().lower().split() for t in texts]
     whole = np.concatenate([w.hash for _, w in B.chunks(pa.array(texts), B.SPACED)])
     parts = np.concatenate([w.hash for _, w in B.chunks(pa.array(texts), B.SPACED, size=1)])
-    assert (whole == parts).all() and whole[0] == whole[3] and len(set(whole.tolist())) == 7
+    assert (whole == parts).all() and whole[0] == whole[2] == whole[4] and whole[1] == whole[3] and len(set(whole.tolist())) == 7
 
 
 def test_jaccard_on_odd_rows(odd, empty):
@@ -81,6 +81,32 @@ def test_jaccard_on_chains_and_near_misses(spark, monkeypatch, group):
     assert got_components(df) == want
 
 
+@pytest.mark.parametrize("threshold", [(1, 2), (3, 5), (2, 3), (9, 10)])
+def test_jaccard_at_other_thresholds(spark, threshold):
+    """Down to a half, where a set of one shingle links with one of two."""
+    rng = np.random.default_rng(8)
+    texts = ["a b c d e", "a b c d e f", "a b c d e f g", "b c d e f g h", "x a b c d e"]
+    for size in (6, 8, 11, 25):
+        base = [f"t{size}_{i}" for i in range(size)]
+        for k in range(10):
+            w = list(base)
+            for at in rng.integers(0, size, size=k % 4):
+                w[at] = f"e{rng.integers(3)}"
+            texts.append(" ".join(w[k % 3 :]))
+    rows = list(enumerate(texts))
+    assert got_components(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold) == brute_components(rows, *threshold)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        base = rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.int64).astype(np.uint64)
+        x, y = (np.unique(base[rng.random(len(base)) < rate]) for rate in rng.random(2))
+        if len(x) and len(y):
+            a, b = (pa.py_buffer(J._signature(s)) for s in (x, y))
+            assert J._differing(a, b) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_boundary_follows_cost():
     assert J.choose_boundary([(500, 100)], 0.0, (3, 4)) == 0
     assert J.choose_boundary([(6, 1000)], 50.0, (3, 4)) >= 8

@@ -21,13 +21,14 @@ from grainmill.plans.workspace import Workspace
 
 _WORD = r"[^\x20\x09-\x0D]"
 _GAP = r"[\x20\x09-\x0D]+"
-ITERATIONS = 20
+#: Steps of expectation-maximisation at most, and the change of a rate below which it ends.
+ITERATIONS, STILL = 100, 1e-10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_letters", "n_stops", "n_shouts", "n_repeat_words", "n_lines", "n_dup_lines")
 #: Rates stay this far from 0 and 1.
 _FLOOR = 0.001
-#: A good document gets a bad vote of a rule twice in a thousand times at most. Without
-#: this bound the likeliest fit takes the commonest kind of junk for a trait of good documents.
-_GOOD_FLOOR = 0.998
+#: Prior of a rule's rate of right votes on good documents: its mean, and its weight as a share of all
+#: documents. Without it the likeliest fit takes the commonest kind of junk for a trait of good documents.
+GOOD_MEAN, GOOD_WEIGHT = 0.998, 1.0
 
 
 @dataclass(frozen=True)
@@ -138,10 +139,13 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def fit_accuracies(patterns: list[tuple[tuple[int | None, ...], int]], rules: int, iterations: int = ITERATIONS) -> tuple[float, list[float], list[float]]:
     """Share of good documents, and each rule's rate of right votes on good and on bad ones, by expectation-maximisation.
 
+    Both rates are estimated from the documents; that on good ones starts from a prior of ``GOOD_MEAN``.
+
     ``patterns``: votes (1, 0 or None) and the number of documents that vote so.
     """
-    prior, right_good, right_bad = 0.8, [_GOOD_FLOOR] * rules, [0.3] * rules
+    prior, right_good, right_bad = 0.8, [GOOD_MEAN] * rules, [0.3] * rules
     total = sum(n for _, n in patterns)
+    weight = GOOD_WEIGHT * total
     for _ in range(iterations if total else 0):
         mass, good, good_1, bad, bad_0 = 0.0, [0.0] * rules, [0.0] * rules, [0.0] * rules, [0.0] * rules
         for votes, n in patterns:
@@ -153,9 +157,12 @@ def fit_accuracies(patterns: list[tuple[tuple[int | None, ...], int]], rules: in
                     good_1[j] += n * p * v
                     bad[j] += n * (1 - p)
                     bad_0[j] += n * (1 - p) * (1 - v)
+        before = [prior, *right_good, *right_bad]
         prior = _inside((mass + 1) / (total + 2))
-        right_good = [max(_GOOD_FLOOR, _inside((a + 1) / (b + 2))) for a, b in zip(good_1, good, strict=True)]
+        right_good = [_inside((a + weight * GOOD_MEAN) / (b + weight)) for a, b in zip(good_1, good, strict=True)]
         right_bad = [_inside((a + 1) / (b + 2)) for a, b in zip(bad_0, bad, strict=True)]
+        if max(abs(x - y) for x, y in zip(before, [prior, *right_good, *right_bad], strict=True)) < STILL:
+            break
     return prior, right_good, right_bad
 
 
@@ -181,9 +188,9 @@ def vote_patterns(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tu
 def judge_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """Input columns, the counts, and the verdict of the rules.
 
-    The rules are fitted first and applied then. With ``keep``, the input columns
-    that the result needs, counts are written once beside them and read for both;
-    without it all columns stay, and counts are made twice instead.
+    The rules are fitted first and applied then; counts are written once, beside
+    the input columns that the result needs (``keep``; all of them by default), and
+    read for both.
 
     Adds ``quality`` (posterior probability of a good document), ``base_failed``
     (under 50 words, or more than half of them in repeated three-word windows) and
@@ -192,9 +199,8 @@ def judge_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     words: base_failed. Repeated rows count each time and get equal verdicts. An
     empty table gives an empty result.
     """
-    counts = quality_counts(docs, text_col)
-    if keep is not None:
-        counts = Workspace(docs.sparkSession, "quality").table("counts", counts.select(*keep, *COUNTS))
+    keep = [c for c in docs.columns if c not in COUNTS] if keep is None else keep
+    counts = Workspace(docs.sparkSession, "quality").table("counts", quality_counts(docs, text_col).select(*keep, *COUNTS))
     prior, right_good, right_bad = fit_accuracies(vote_patterns(counts, rules), len(rules))
     odds = F.lit(math.log(prior / (1 - prior)))
     for rule, a, b in zip(rules, right_good, right_bad, strict=True):

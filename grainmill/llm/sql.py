@@ -68,17 +68,17 @@ FROM d JOIN first f ON f.h = d.h JOIN buckets b ON b.depth = f.depth AND b.prefi
 
 def quality_rules() -> str:
     """Counts by unnesting, and expectation-maximisation as a recursion over one row of parameters."""
-    from grainmill.llm.quality_rules import _FLOOR, _GOOD_FLOOR, ITERATIONS, RULES
+    from grainmill.llm.quality_rules import _FLOOR, GOOD_MEAN, GOOD_WEIGHT, ITERATIONS, RULES
 
     n = len(RULES)
     votes = ", ".join(f"{r.vote()} AS v{j}" for j, r in enumerate(RULES))
     names = ", ".join(f"v{j}" for j in range(n))
     params = ", ".join(f"a{j}, b{j}" for j in range(n))
-    start = ", ".join(f"CAST({_GOOD_FLOOR} AS DOUBLE) AS a{j}, CAST(0.3 AS DOUBLE) AS b{j}" for j in range(n))
+    start = ", ".join(f"CAST({GOOD_MEAN} AS DOUBLE) AS a{j}, CAST(0.3 AS DOUBLE) AS b{j}" for j in range(n))
     odds = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE v{j} WHEN 1 THEN ln(a{j} / (1 - b{j})) WHEN 0 THEN ln((1 - a{j}) / b{j}) ELSE 0 END" for j in range(n))
     inside = lambda x: f"least({1 - _FLOOR}, greatest({_FLOOR}, {x}))"
     step = ", ".join(
-        f"greatest({_GOOD_FLOOR}, " + inside(f"(coalesce(sum(n * p) FILTER (WHERE v{j} = 1), 0) + 1) / (coalesce(sum(n * p) FILTER (WHERE v{j} IS NOT NULL), 0) + 2)") + f") AS a{j}, " + inside(f"(coalesce(sum(n * (1 - p)) FILTER (WHERE v{j} = 0), 0) + 1) / (coalesce(sum(n * (1 - p)) FILTER (WHERE v{j} IS NOT NULL), 0) + 2)") + f" AS b{j}" for j in range(n)
+        inside(f"(coalesce(sum(n * p) FILTER (WHERE v{j} = 1), 0) + {GOOD_WEIGHT * GOOD_MEAN} * sum(n)) / (coalesce(sum(n * p) FILTER (WHERE v{j} IS NOT NULL), 0) + {GOOD_WEIGHT} * sum(n))") + f" AS a{j}, " + inside(f"(coalesce(sum(n * (1 - p)) FILTER (WHERE v{j} = 0), 0) + 1) / (coalesce(sum(n * (1 - p)) FILTER (WHERE v{j} IS NOT NULL), 0) + 2)") + f" AS b{j}" for j in range(n)
     )
     count = lambda pattern: f"CAST(len(regexp_extract_all(t, '{pattern}')) AS BIGINT)"
     return rf"""

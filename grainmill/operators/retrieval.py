@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as T
@@ -34,3 +34,38 @@ def pack_spans(ranked: DataFrame, budget: int, doc: str = "doc_id") -> DataFrame
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
     step = lambda a, s: F.when(~F.array_contains(a["taken"], s["span"]) & (a["used"] + s["chars"] <= budget), F.struct((a["used"] + s["chars"]).cast("long").alias("used"), F.concat(a["taken"], F.array(s["span"])).alias("taken"))).otherwise(a)
     return per_doc.select(doc, F.aggregate("s", start, step).alias("r")).select(doc, F.col("r.used").alias("chars"), F.array_sort("r.taken").alias("spans"))
+
+
+#: Characters of a selection at most, of a source that is left whole, and of the end that is always tried.
+SELECT_CHARS, WHOLE_CHARS, TAIL_CHARS = 5800, 5000, 1100
+#: Best spans taken, and best spans whose neighbours are taken as well.
+TOP, TOP_NEIGHBOURS = 12, 5
+
+
+def select_spans(spans: DataFrame, scores: DataFrame, doc: str = "doc_id", budget: int = SELECT_CHARS) -> DataFrame:
+    """Spans of each long document that fit the budget: the first, those of its end, the best ones, neighbours of the very best.
+
+    ``spans``: (``doc``, ``span``, ``start``, ``stop``, ``length``), the last being that of the whole source;
+    ``scores``: (``doc``, ``span``, ``score``). Equal scores rank by place. Sources of at most ``WHOLE_CHARS``
+    characters have no selection. Returns ``doc``, ``chars`` and ``spans`` in their order in the source.
+    """
+    rows = spans.where(F.col("length") > WHOLE_CHARS).join(scores, [doc, "span"])
+    by_score = Window.partitionBy(doc).orderBy(F.desc("score"), "span")
+    by_place = Window.partitionBy(doc).orderBy("span")
+    rows = rows.withColumn("rank", F.row_number().over(by_score))
+    rows = rows.withColumns({"before": F.lead("rank").over(by_place), "after": F.lag("rank").over(by_place)})
+
+    def turn(step: int, wanted, place, side: int = 0):
+        return F.when(wanted, F.struct(F.lit(step).alias("step"), place.cast("int").alias("place"), F.lit(side).alias("side")))
+
+    turns = F.array_compact(
+        F.array(
+            turn(0, F.col("span") == 0, F.lit(0)),
+            turn(1, F.col("start") >= F.greatest(F.col("length") - TAIL_CHARS, F.lit(0)), F.col("span")),
+            turn(2, F.col("rank") <= TOP, F.col("rank")),
+            turn(3, F.col("before") <= TOP_NEIGHBOURS, F.col("before"), 0),
+            turn(3, F.col("after") <= TOP_NEIGHBOURS, F.col("after"), 1),
+        )
+    )
+    chosen = rows.select(doc, "span", (F.col("stop") - F.col("start")).cast("long").alias("chars"), F.explode(turns).alias("priority"))
+    return pack_spans(chosen, budget, doc)

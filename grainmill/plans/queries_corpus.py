@@ -42,23 +42,29 @@ def decontam_kept(spark, sf_dir):
     "text_functions",
     f"""SELECT doc_id, {_FOLD.format("text")} AS folded, len({_WORDS.format("text")}) AS n_words, replace(source, '_', ' ') AS human,
   CASE WHEN length(text) > 80 THEN left(text, 37) || ' [...] ' || right(text, 36) ELSE text END AS ends,
-  regexp_replace(source, '^\\s*(?:\\(\\d+\\)|\\d+[.):])\\s*', '') AS unmarked, regexp_matches(source, '(?i)(^|[\\s_])(id|idx|index|case[\\s_]?id)$') AS id_column FROM documents""",
+  regexp_replace(source, '^\\s*[(\\[]?\\d{{1,2}}\\s*[)\\].:\\-]\\s*', '') AS unmarked, regexp_matches(source, '(?i)(^|[\\s_])(id|idx|index|case[\\s_]?id)$') AS id_column FROM documents""",
 )
 def text_functions(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fold("text").alias("folded"), F.size(T.words("text")).cast("long").alias("n_words"), T.humanize("source").alias("human"), T.head_and_tail("text", 80).alias("ends"), T.strip_level_marker("source").alias("unmarked"), T.is_id_column("source").alias("id_column"))
 
 
-_NUMBERS = "len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*'))"
+_NUMBERS = "len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'))"
+_REQUEST = "text || chr(10) || source"
 
 
 @register(
     "routing_features",
-    f"""SELECT doc_id, len(regexp_extract_all(text, '\\d')) AS n_digits, {_NUMBERS} AS n_numbers, len(regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) AS n_dates,
-  len(regexp_extract_all(text, '[$€£¥%]')) AS n_money, len(regexp_extract_all(lower(text), '\\b(more|less|fewer|greater|least|most|before|after|between)\\b')) AS n_comparisons,
-  length(text) > 1800 OR {_NUMBERS} >= 3 OR regexp_matches(lower(text), '\\b(policy|rule|section|clause|unless|except|deadline|eligible)\\b') AS needs_evidence FROM documents""",
+    f"""SELECT doc_id, len(regexp_extract_all({_REQUEST}, '\\d')) AS n_digits, len(regexp_extract_all({_REQUEST}, '\\b\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b')) AS n_dates,
+  len(regexp_extract_all({_REQUEST}, '(?i)[$€£¥₩%]|\\b(?:USD|EUR|GBP|KRW|percent)\\b')) AS n_money,
+  len(regexp_extract_all({_REQUEST}, '(?i)\\b(?:more|less|greater|fewer|higher|lower|before|after|earlier|later|least|most|equal|than|minimum|maximum)\\b')) AS n_comparisons,
+  round(ln(1 + length(text)), 6) AS log_state_length, {_NUMBERS} AS n_numbers,
+  length(text) > 1800 OR {_NUMBERS} >= 3 OR regexp_matches(text || source, '(?i)\\b(amend|exception|unless|override|policy|clause|article|rule|probabilit|conditional|prevalence|sensitivity|without replacement|calendar|cutoff)') AS needs_evidence,
+  {_NUMBERS} >= 3 AND regexp_matches(source, '(?i)\\d|\\b(?:{T.QUANTITIES})\\b') AS needs_calculation FROM documents""",
 )
 def routing_features(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in T.surface_features("text").items()], T.needs_evidence("text").alias("needs_evidence"))
+    counts = T.surface_features("text", "source")
+    length = F.round(counts.pop("log_state_length"), 6).alias("log_state_length")
+    return _docs(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in counts.items()], length, T.number_count("text").cast("long").alias("n_numbers"), T.needs_evidence("text", "source").alias("needs_evidence"), T.needs_calculation("text", F.col("source"), F.array().cast("array<string>"), F.lit("choice")).alias("needs_calculation"))
 
 
 @register(
@@ -176,7 +182,7 @@ def near_equal_groups(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (" + _STOP + "))"
+_TOKENS = "list_filter(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (" + _STOP + "))"
 
 
 @register(
@@ -215,6 +221,15 @@ def evidence_spans(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.evidence_spans("text")).alias("span", "s")).select("doc_id", "span", "s.start", "s.stop")
 
 
+@register("evidence_selection")
+def evidence_selection(spark, sf_dir):
+    """Spans chosen from every long document, with its source and language as the question."""
+    docs = _docs(spark, sf_dir)
+    spans = docs.select("doc_id", F.length("text").alias("length"), "text", F.posexplode(T.evidence_spans("text")).alias("span", "s")).select("doc_id", "length", "span", "s.start", "s.stop", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
+    scores = R.bm25(spans, docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("query")))
+    return R.select_spans(spans.drop("text"), scores).select("doc_id", "chars", F.array_join("spans", ",").alias("spans"))
+
+
 @register("role_by_hash")
 def role_by_hash(spark, sf_dir):
     pick = H.role_of({"train": 80, "dev": 10, "test": 10})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from grainmill.functions.hashing import hashed_order
+from grainmill.plans.workspace import Workspace
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,10 @@ class Source:
 
 
 def read_source(spark: SparkSession, source: Source, schema: StructType | str | None = None, seed: int = 0, id_col: str | None = None) -> DataFrame:
-    """Rows of a source: membership filters reach the scan; a limit takes a hashed sample of limit x oversample rows."""
+    """Rows of a source: membership filters reach the scan; a limit takes a hashed sample of limit x oversample rows.
+
+    A transform that drops rows may leave more than the limit; ``load_all`` applies it again.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.format("json" if source.format in ("jsonl", "jsonl.gz") else source.format).load(source.path)
     for column, allowed in source.where.items():
@@ -45,11 +49,18 @@ def read_json_lines(spark: SparkSession, paths: list[str] | str, schema: StructT
 
 
 def load_all(spark: SparkSession, sources: list[Source], transform: dict[str, object]) -> tuple[DataFrame | None, DataFrame]:
-    """Samples of all sources that load, and a manifest row for each source; one that fails leaves the others alone."""
-    pools, rows = None, []
-    for s in sources:
+    """Samples of all sources that load, and a manifest row for each source; one that fails leaves the others alone.
+
+    Samples of a source are written in the shared folder before the next one is
+    read, so that a file that breaks while it is read fails its own source only.
+    A source with a limit gives at most that many samples.
+    """
+    pools, rows, space = None, [], Workspace(spark, "pools")
+    for place, s in enumerate(sources):
         try:
-            made = transform[s.name](read_source(spark, s)).withColumn("source", F.lit(s.name)).withColumn("family", F.lit(s.family)).withColumn("language", F.lit(s.language))
+            made = transform[s.name](read_source(spark, s))
+            made = made if s.limit is None else made.limit(s.limit)
+            made = space.table(f"source{place}", made).withColumn("source", F.lit(s.name)).withColumn("family", F.lit(s.family)).withColumn("language", F.lit(s.language))
             pools = made if pools is None else pools.unionByName(made, allowMissingColumns=True)
             rows.append((s.name, s.license, s.family, s.language, "loaded", ""))
         except Exception as error:  # a broken source becomes a row of the manifest
@@ -67,22 +78,31 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str, role: str = "role", order: str = "id") -> DataFrame:
-    """JSON lines by role, refused if the folder exists; returns rows and content hash of each role."""
+    """JSON lines by role, refused if the folder exists; returns rows and content of each role.
+
+    ``content`` is the sum of the lines' hashes: it does not hang on their order,
+    and a row that occurs twice counts twice.
+    """
     df.repartition(role).sortWithinPartitions(role, order).write.partitionBy(role).mode("errorifexists").json(path)
     line = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return df.groupBy(role).agg(F.count(F.lit(1)).alias("rows"), F.lower(F.hex(F.bit_xor(F.conv(F.substring(line, 1, 15), 16, 10).cast("long")))).alias("content"))
+    return df.groupBy(role).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias("content"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def append_missing(planned: DataFrame, path: str, key: str, compute, binding: str | None = None) -> None:
-    """Compute and append only planned rows that the output lacks; an output row whose binding differs is an error."""
+    """Compute and append only planned rows that the output lacks; an output row whose binding differs is an error.
+
+    Only an output that does not exist counts as empty; one that cannot be read is an error.
+    """
     spark = planned.sparkSession
-    try:
+    if _exists(spark, path):
         done = spark.read.parquet(path)
-    except Exception:  # nothing written yet
-        done = None
-    if done is not None:
         if binding is not None:
-            wrong = planned.alias("p").join(done.alias("d"), key).where(F.col(f"p.{binding}") != F.col(f"d.{binding}"))
+            wrong = planned.alias("p").join(done.alias("d"), key).where(~F.col(f"p.{binding}").eqNullSafe(F.col(f"d.{binding}")))
             if not wrong.isEmpty():
                 raise ValueError("an existing row is bound to other inputs")
         planned = planned.join(done.select(key), key, "left_anti")

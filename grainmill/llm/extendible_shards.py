@@ -64,7 +64,8 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text_col: st
 
     Adds ``n_bytes`` (UTF-8 bytes of the text), ``shard`` (the directory prefix as
     bits; empty if all fits one shard), ``shard_depth``, ``shard_bytes`` and
-    ``shard_docs``; input columns of these names are replaced. Shards hold at most
+    ``shard_docs``; input columns of these names are replaced, and
+    ``_h``, ``_cell``, ``_depth`` and ``_prefix`` are reserved. Shards hold at most
     ``limit`` bytes, except one that holds a single key value whose rows alone are
     larger. Equal keys share a shard, as do repeated rows. Null and empty texts have
     0 bytes and are placed as others are; null keys hash as an empty string. An
@@ -77,12 +78,12 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text_col: st
     out, rest = None, base
     for placed, high in rounds:
         cell = F.expr(f"shiftright(_h, {HASH_BITS - high})")
-        found = rest.withColumn("_cell", cell).join(placed.withColumnRenamed("cell", "_cell"), "_cell")
+        found = rest.withColumn("_cell", cell).join(placed.select(F.col("cell").alias("_cell"), F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"), "shard_bytes", "shard_docs"), "_cell")
         out = found if out is None else out.unionByName(found)
         if placed is not rounds[-1][0]:
             rest = rest.withColumn("_cell", cell).join(placed.select(F.col("cell").alias("_cell")), "_cell", "left_anti").drop("_cell")
-    name = F.expr("CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END")
-    return out.withColumn("shard", name).withColumn("shard_depth", F.col("depth").cast("int")).drop("_cell", "_h", "depth", "prefix")
+    name = F.expr("CASE WHEN _depth = 0 THEN '' ELSE lpad(bin(_prefix), _depth, '0') END")
+    return out.withColumn("shard", name).withColumn("shard_depth", F.col("_depth").cast("int")).drop("_cell", "_h", "_depth", "_prefix")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text_col: str = "text") -> None:

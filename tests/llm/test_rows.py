@@ -215,6 +215,14 @@ def test_shards(spark, odd, empty, documents):
     assert assign_shards(empty, 100).count() == 0
 
 
+def test_shards_keep_columns_named_as_the_directory(spark):
+    names = ["depth", "prefix", "cell", "h", "h0", "b"]
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10).alias("text"), *[F.col("id").alias(n) for n in names])
+    got = assign_shards(rows, 50).collect()
+    assert len(got) == 40 and all(r[n] == r.doc_id for r in got for n in names)
+    assert len({r.shard for r in got}) > 1 and all(len(r.shard) == r.shard_depth for r in got)
+
+
 # packed ids
 
 

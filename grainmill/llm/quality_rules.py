@@ -26,9 +26,9 @@ ITERATIONS, STILL = 100, 1e-10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_letters", "n_stops", "n_shouts", "n_repeat_words", "n_lines", "n_dup_lines")
 #: Rates stay this far from 0 and 1.
 _FLOOR = 0.001
-#: Prior of a rule's rate of right votes on good documents: its mean, and its weight as a share of all
+#: Prior of a rule's rate of right votes on good documents: its mean, and its weight in multiples of all
 #: documents. Without it the likeliest fit takes the commonest kind of junk for a trait of good documents.
-GOOD_MEAN, GOOD_WEIGHT = 0.998, 1.0
+GOOD_MEAN, GOOD_WEIGHT = 0.998, 5.0
 
 
 @dataclass(frozen=True)
@@ -139,7 +139,8 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def fit_accuracies(patterns: list[tuple[tuple[int | None, ...], int]], rules: int, iterations: int = ITERATIONS) -> tuple[float, list[float], list[float]]:
     """Share of good documents, and each rule's rate of right votes on good and on bad ones, by expectation-maximisation.
 
-    Both rates are estimated from the documents; that on good ones starts from a prior of ``GOOD_MEAN``.
+    Both rates are estimated from the documents; that on good ones is drawn
+    towards ``GOOD_MEAN``. Ends when no rate moves by ``STILL``, or after ``iterations``.
 
     ``patterns``: votes (1, 0 or None) and the number of documents that vote so.
     """

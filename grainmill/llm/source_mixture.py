@@ -86,14 +86,20 @@ def _plan(sums: dict[str | None, dict[int, int]], weights: Sequence[float], cap:
     for source, size, target in zip(sources, sizes, targets, strict=True):
         order, own, rest, turn = _order(seed, source, list(sums[source])), [], target, 0
         while size and rest > 0.5 and turn < cap:
+            over: list[tuple[int, int]] = []
+            apart = rest < size <= BLOCK_WORDS
             for block in order:
                 words = sums[source][block]
-                if words <= rest:
+                if words <= rest and not apart:
                     own.append((block, None))
                     rest -= words
-                elif rest > 0.5:
-                    own.append((block, round(rest)))
-                    rest = 0
+                else:
+                    over.append((words, block))
+            if over:
+                # the last turn: what no whole block fits is drawn from the smallest block left, of a small source from all its documents
+                if rest > 0.5:
+                    own += [(block, round(rest)) for _, block in sorted(over)[: None if apart else 1]]
+                rest = 0
             turn += 1
         drawn.append(own)
     dealt = split_draws([len(d) for d in drawn], shards, seed)
@@ -150,14 +156,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = base.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_of")))
     rows = rows.join(drawn, F.col("_mix_of").eqNullSafe(F.col("_mix_from")) & (F.expr("pmod(_mix_key, _mix_n)") == F.col("_mix_at")))
     whole = rows.where("_mix_part IS NULL")
-    # of one block a source: in keyed order those that fit what is left, and again for the gap that a large one leaves
+    # a source's last block: a quarter of what is left in keyed order, then the largest documents that fit it
     own = Window.partitionBy("_mix_of")
-    order = own.orderBy("_mix_key", F.col("_mix_size").desc(), F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, 0)
+    ties = ["_mix_key", F.col("_mix_size").desc(), F.xxhash64(text_col)]
     part = rows.where("_mix_part IS NOT NULL").withColumn("_mix_in", F.lit(False))
-    for _ in range(_FILLS):
-        part = part.withColumn("_mix_fit", F.expr("CASE WHEN NOT _mix_in AND _mix_size <= _mix_words THEN _mix_size ELSE 0 END"))
-        part = part.withColumn("_mix_run", F.sum("_mix_fit").over(order)).withColumn("_mix_fit", F.expr("CASE WHEN _mix_run <= _mix_words THEN _mix_fit ELSE 0 END"))
+    for turn in range(_FILLS):
+        order = own.orderBy(*ties) if turn == 0 else own.orderBy(F.col("_mix_size").desc(), *ties)
+        left = "_mix_words / 4" if turn == 0 else "_mix_words"
+        part = part.withColumn("_mix_fit", F.expr(f"CASE WHEN NOT _mix_in AND _mix_size <= {left} THEN _mix_size ELSE 0 END"))
+        part = part.withColumn("_mix_run", F.sum("_mix_fit").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_mix_fit", F.expr(f"CASE WHEN _mix_run <= {left} THEN _mix_fit ELSE 0 END"))
         part = part.withColumn("_mix_in", F.expr("_mix_in OR _mix_fit > 0")).withColumn("_mix_words", F.col("_mix_words") - F.sum("_mix_fit").over(own))
+    # the last gap: the unused document whose size leaves the least, over or under, if it leaves less than the gap
+    miss = F.abs(F.col("_mix_size") - F.col("_mix_words"))
+    nearest = F.row_number().over(own.orderBy("_mix_in", miss, "_mix_key", F.xxhash64(text_col)))
+    part = part.withColumn("_mix_in", F.col("_mix_in") | ((nearest == 1) & (miss < F.col("_mix_words"))))
     part = part.withColumn("_mix_shards", F.expr("CASE WHEN _mix_in THEN concat(_mix_shards, array(_mix_part)) ELSE _mix_shards END")).drop("_mix_in", "_mix_fit", "_mix_run")
     out = whole.unionByName(part).withColumn("_mix_taken", F.col("_mix_size") * F.size("_mix_shards"))
     return out.select(*[F.col(c) for c in docs.columns], "_mix_size", "_mix_source_size", "_mix_target", "_mix_taken", "_mix_shards")

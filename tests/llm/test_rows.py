@@ -183,7 +183,8 @@ def test_mixture(spark, documents, odd, empty):
         by[r.source].append(r)
     for own in by.values():
         assert own[0]._mix_source_size == sum(r._mix_size for r in own)
-        assert abs(sum(r._mix_taken for r in own) - own[0]._mix_target) <= max(r._mix_size for r in own)
+        target = own[0]._mix_target
+        assert abs(sum(r._mix_taken for r in own) - target) <= 0.1 * target + 60
     assert sum(own[0]._mix_target for own in by.values()) == pytest.approx(sum(size.values()))
     again = M.mix_sources(documents.repartition(7), block_words=500)
     assert sorted((r.doc_id, r._mix_taken, r._mix_shards) for r in again.collect()) == sorted((r.doc_id, r._mix_taken, r._mix_shards) for r in rows)

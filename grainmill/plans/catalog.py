@@ -4,3 +4,5 @@ import grainmill.plans.queries_metrics  # noqa: F401
 import grainmill.plans.queries_corpus  # noqa: F401
 import grainmill.plans.queries_joins  # noqa: F401
 import grainmill.plans.queries_fits  # noqa: F401
+import grainmill.plans.queries_comparison  # noqa: F401
+import grainmill.plans.queries_samples  # noqa: F401

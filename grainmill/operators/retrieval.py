@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as T
@@ -28,6 +33,38 @@ def bm25(spans: DataFrame, queries: DataFrame, doc: str = "doc_id", span: str =
     return spans.select(doc, span).join(found, [doc, span], "left").select(doc, span, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def bm25_in_row(spans: Column, query: Column) -> Column:
+    """The same scores where a document's spans (array of text) are in its own row: nothing is shuffled.
+
+    Null spans or a null query score as empty ones; a null array gives null.
+    """
+    stop = frozenset(T.STOP_WORDS)
+
+    def tokens(text: str | None) -> list[str]:
+        return [w for w in re.findall("[a-z0-9]+", (text or "").lower().replace("ß", "ss")) if len(w) > 1 and w not in stop]
+
+    def score(texts, asked: str | None) -> list[float] | None:
+        if texts is None:
+            return None
+        counts, df, terms = [Counter(tokens(t)) for t in texts], Counter(), set(tokens(asked))
+        lengths = [sum(c.values()) for c in counts]
+        for c in counts:
+            df.update(c.keys())
+        n, mean = len(counts), max(sum(lengths) / max(len(lengths), 1), 1.0)
+        idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (K1 + 1) for t in terms & df.keys()}
+        out = []
+        for c, length in zip(counts, lengths, strict=True):
+            norm = K1 * (1 - B + B * length / mean)
+            out.append(sum(idf[t] * k / (k + norm) for t, k in c.items() if t in idf))
+        return out
+
+    @F.pandas_udf("array<double>")
+    def scores(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([score(t, q) for t, q in zip(texts, asked, strict=True)], dtype=object)
+
+    return scores(spans, query)
+
+
 def pack_spans(ranked: DataFrame, budget: int, doc: str = "doc_id") -> DataFrame:
     """Spans (``doc``, ``priority``, ``span``, ``chars``) taken by priority while they fit the budget; one too long is passed over and the walk goes on."""
     per_doc = ranked.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("priority", "span", "chars"))).alias("s"))

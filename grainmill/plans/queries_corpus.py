@@ -187,26 +187,19 @@ _TOKENS = "list_filter(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z
 
 @register(
     "bm25_spans",
-    f"""WITH s AS (SELECT doc_id, unnest(range(0, len(l))) AS span, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en')),
+    f"""WITH s AS (SELECT doc_id, unnest(range(0, len(l))) AS span, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 t AS (SELECT doc_id, span, {_TOKENS.format("text")} AS w FROM s), sizes AS (SELECT doc_id, count(*) AS n, avg(len(w)) AS avg_len FROM t GROUP BY doc_id),
-q AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format("left(text, 200)")})) AS term FROM documents WHERE lang = 'en'),
+q AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format("text")})) AS term FROM documents),
 tf AS (SELECT doc_id, span, len, term, count(*) AS tf FROM (SELECT doc_id, span, len(w) AS len, unnest(w) AS term FROM t) JOIN q USING (doc_id, term) GROUP BY ALL),
 df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
 r AS (SELECT doc_id, span, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(avg_len, 1)))) AS score FROM tf JOIN df USING (doc_id, term) JOIN sizes USING (doc_id) GROUP BY ALL)
 SELECT s.doc_id, CAST(s.span AS INTEGER) AS span, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.span = s.span""",
 )
 def bm25_spans(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where("lang = 'en'")
-    spans = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("span", "text"))
-    return R.bm25(spans, docs.select("doc_id", F.left("text", F.lit(200)).alias("query"))).select("doc_id", "span", F.round("score", 6).alias("score"))
-
-
-@register("bm25_spans_whole")
-def bm25_spans_whole(spark, sf_dir):
     """Lines of every document, in any language, against its whole text."""
-    docs = _docs(spark, sf_dir)
-    spans = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("span", "text"))
-    return R.bm25(spans, docs.select("doc_id", F.col("text").alias("query"))).select("doc_id", "span", F.round("score", 6).alias("score"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"), "text")
+    scored = docs.select("doc_id", F.posexplode(R.bm25_in_row(F.col("lines"), F.col("text"))).alias("span", "score"))
+    return scored.select("doc_id", "span", F.round("score", 6).alias("score"))
 
 
 @register("packed_spans")

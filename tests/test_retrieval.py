@@ -25,8 +25,17 @@ def test_bm25_of_every_document_and_its_whole_text(spark, data):
     docs = table(spark, data, "documents").collect()
     assert len({r.lang for r in docs}) > 1 and any(len(r.text) > 200 for r in docs)
     want = {(r.doc_id, i): x for r in docs for i, x in enumerate(brute_bm25(r.text))}
-    rows = registry.queries()["bm25_spans_whole"](spark, data).collect()
+    rows = registry.queries()["bm25_spans"](spark, data).collect()
     assert len(rows) == len(want) and {(r.doc_id, r.span): r.score for r in rows} == pytest.approx(want, abs=2e-6)
+    whole = table(spark, data, "documents")
+    joined = R.bm25(whole.select("doc_id", F.posexplode(F.split("text", "\n")).alias("span", "text")), whole.selectExpr("doc_id", "text AS query")).collect()
+    assert {(r.doc_id, r.span): r.score for r in joined} == pytest.approx(want, abs=2e-6)
+
+
+def test_bm25_in_row_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None, "word"), (2, [], "word"), (3, ["", None, "word other"], None), (4, ["word", "word word", "zz"], "Word")], "id int, s array<string>, q string")
+    got = {r.id: r.x for r in rows.select("id", R.bm25_in_row(F.col("s"), F.col("q")).alias("x")).collect()}
+    assert got[1] is None and got[2] == [] and got[3] == [0, 0, 0] and 0 < got[4][0] < got[4][1] and got[4][2] == 0
 
 
 def test_spans_tile_their_blocks(spark):

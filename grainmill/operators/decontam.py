@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from grainmill.functions import text as T
 #: Words of a gram; shorter protected texts, of this many words at least, must be equal as a whole.
 WIDTH, LEAST_EXACT = 13, 4
 CJK_WIDTH, CJK_LEAST = 32, 8
+#: Keys of an index that go to every worker (about 10 MB); a larger one is joined.
+MOST_KEYS = 1 << 17
 
 
 def gram_index(protected: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -22,11 +25,43 @@ def gram_index(protected: DataFrame, text_col: str = "text", width: int = WIDTH)
 
 
 def hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Ids of documents that share a key with the index.
+    """Ids of documents that share a key with the index; null texts share none.
+
+    The index is read here. Of at most ``MOST_KEYS`` keys it is sent along and documents are looked up in their
+    rows, without a shuffle of their grams; else see ``joined_hits``.
+    """
+    keys = index.select("kind", "key").limit(MOST_KEYS + 1).collect()
+    if len(keys) > MOST_KEYS:
+        return joined_hits(docs, index, id_col, text_col, width)
+    of = {kind: frozenset(k.key for k in keys if k.kind == kind) for kind in ("gram", "exact", "cjk")}
+    long, short, cjk, least, window = of["gram"], of["exact"], of["cjk"], LEAST_EXACT, CJK_WIDTH
+
+    def one(joined: str | None) -> bool:
+        if not joined:
+            return False
+        w = joined.split(" ")
+        if len(w) >= width:
+            if any(" ".join(w[i : i + width]) in long for i in range(len(w) - width + 1)):
+                return True
+        elif len(w) >= least and joined in short:
+            return True
+        whole = "".join(w) if cjk else ""
+        return any(whole[i : i + window] in cjk for i in range(len(whole) - window + 1))
+
+    @F.pandas_udf("boolean")
+    def shares(joined: pd.Series) -> pd.Series:
+        return joined.map(one).astype(bool)
+
+    return docs.where(shares(F.array_join(T.words(text_col), " "))).select(F.col(id_col).alias("id")).distinct()
+
+
+def joined_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The same for an index of any size.
 
     Keys of documents are hashed before the semi join, so the shuffle moves eight
     bytes a gram; the few that meet are joined again on the key itself.
     """
+
     def keyed(rows: DataFrame) -> DataFrame:
         w = rows.select("id", F.col("t"), T.words("t").alias("w"))
         exact = F.when(F.size("w").between(LEAST_EXACT, width - 1), F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))

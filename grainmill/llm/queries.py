@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import sql
+from grainmill.llm.conversation_repair import damage_turns, repaired_conversations
 from grainmill.llm.decontaminate import benchmark_overlap, contamination
 from grainmill.llm.extendible_shards import assign_shards
 from grainmill.llm.jaccard_join import jaccard_components
+from grainmill.llm.line_dedup import dedup_lines
 from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
 from grainmill.llm.pii_pseudonyms import pseudonymise
 from grainmill.llm.quality_rules import judge_quality
 from grainmill.llm.source_mixture import mix_sources
 from grainmill.llm.span_dedup import dedup_spans
+from grainmill.llm.spelling_variants import FORM_RATIO, count_words, spelling_variants
 from grainmill.llm.tool_calls import chat_lines
 from grainmill.llm.toxic_spans import score_toxicity, train_on
 from grainmill.plans.shipping import ship
@@ -27,6 +30,10 @@ SHARD_BYTES = 64 << 20
 PSEUDONYM_KEY = "query-key"
 #: Words from which a single sentence that repeats is removed by itself.
 SENTENCE_WORDS = 50
+#: Code points of a line's key, and documents that hold it, from which a line is removed.
+LINE_LENGTH, LINE_DOCUMENTS = 40, 5
+#: Code points and occurrences of a word, at least, and how many of the words lose a letter.
+WORD_LENGTH, WORD_COUNT, DELETE_ONE_IN = 7, 2, 31
 #: The vocabulary of token-id files.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -92,6 +99,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(_read(spark, sf_dir, "documents"), least_length=LINE_LENGTH, least_documents=LINE_DOCUMENTS)
+    return cut.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(_read(spark, sf_dir, "documents"), least_length=WORD_LENGTH, least_count=WORD_COUNT, delete_one_in=DELETE_ONE_IN)
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return repaired_conversations(turns, damage_turns(turns))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
@@ -104,6 +126,9 @@ def queries() -> dict[str, Query]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_quality_rules": op10_quality_rules,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -113,4 +138,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
         "op9_ngram_jaccard_join": sql.NGRAM_JACCARD,
         "op10_quality_rules": sql.quality_rules(),
+        "op11_line_dedup": sql.line_dedup(LINE_LENGTH, LINE_DOCUMENTS),
+        "op12_spelling_variants": sql.spelling_variants(WORD_LENGTH, WORD_COUNT, DELETE_ONE_IN, FORM_RATIO),
     }

@@ -105,3 +105,63 @@ em AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted), fitted
 """
+
+
+def line_dedup(least_length: int, least_documents: int) -> str:
+    """Lines by unnesting; keys in full, without digests or filters."""
+    return f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS place FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l
+), repeated AS (
+  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= {least_length} GROUP BY k HAVING count(DISTINCT doc_id) >= {least_documents}
+), marked AS (SELECT doc_id, line, place, r.k IS NOT NULL AND doc_id <> r.last AS gone FROM keyed LEFT JOIN repeated r USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+#: crc32 of a list of bytes: eight shifts of each byte make the table, one entry of it is used for each byte of the list.
+_CRC_TABLE = """
+crc_bits AS (
+  SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS crc_entries FROM crc_bits WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a string's UTF-8; ``crc_entries`` must be in reach."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, crc_entries[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def spelling_variants(least_length: int, least_count: int, delete_one_in: int, ratio: int) -> str:
+    """Near words by what is left when a letter is taken out, roots by recursion."""
+    return f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), counted AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= {least_length} GROUP BY 1, 2),
+hashed AS (SELECT w, n, {_crc32("concat(CAST(doc_id AS VARCHAR), ':', w)")} AS h FROM counted, crc_table),
+spelt AS (SELECT CASE WHEN h % {delete_one_in} = 0 THEN concat(w[1:h % length(w)], w[h % length(w) + 2:]) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= {least_length} GROUP BY 1 HAVING sum(n) >= {least_count}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v),
+less AS (SELECT word, n, p, concat(word[1:p - 1], word[p + 1:]) AS rest FROM places),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION
+  SELECT a.word, a.n, b.word, b.n FROM less a JOIN v b ON a.rest = b.word
+  UNION
+  SELECT b.word, b.n, a.word, a.n FROM less a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS top, first(other ORDER BY m DESC, encode(other)) AS other FROM near GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {ratio} * n THEN other END AS form, CASE WHEN top >= {ratio} * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)
+), chains AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL
+  SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+), roots AS (SELECT c.word, c.at AS root FROM chains c JOIN forms f ON f.word = c.at WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
+"""

@@ -37,4 +37,4 @@ def test_rest_imports_without_this_package(tmp_path):
 
 
 def test_names_cover_all():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))

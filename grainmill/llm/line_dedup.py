@@ -216,13 +216,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = rows.mapInArrow(_suspects(table, bits, least_length, _arrow(id_type)), f"id {id_sql}, digest binary")
     # rows that repeat an id hold a key once; all counts are summed before each shuffle
     suspects = space.table("suspects", suspects.distinct())
-    repeats = suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_documents).select("digest", "last")
-    # Spark splits a key that very many documents share: all but the larger side are small
+    repeats = space.table("repeats", suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_documents).select("digest", "last"))
+    # both sides are tables, so that Spark splits a key that very many documents share
     drops = suspects.join(repeats, "digest").where(~F.col("id").eqNullSafe(F.col("last")))
     drops = space.table("drops", drops.groupBy(F.col("id").alias("of")).agg(F.collect_list("digest").alias("gone")))
-    space.drop("suspects")
+    space.drop("suspects", "repeats")
     table.unpersist()
-    joined = rows.join(drops, rows["id"].eqNullSafe(drops["of"]), "left").select("id", "text", "gone")
+    # removals grow with the documents: texts meet them by id at every size
+    joined = rows.join(drops.hint("merge"), rows["id"].eqNullSafe(drops["of"]), "left").select("id", "text", "gone")
     return joined.mapInArrow(_cut(least_length), f"id {id_sql}, text string, n_lines long, n_dropped long")
 
 

@@ -6,3 +6,5 @@ import grainmill.plans.queries_joins  # noqa: F401
 import grainmill.plans.queries_fits  # noqa: F401
 import grainmill.plans.queries_comparison  # noqa: F401
 import grainmill.plans.queries_samples  # noqa: F401
+import grainmill.plans.queries_evidence  # noqa: F401
+import grainmill.plans.queries_batches  # noqa: F401

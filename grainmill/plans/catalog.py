@@ -8,3 +8,4 @@ import grainmill.plans.queries_comparison  # noqa: F401
 import grainmill.plans.queries_samples  # noqa: F401
 import grainmill.plans.queries_evidence  # noqa: F401
 import grainmill.plans.queries_batches  # noqa: F401
+import grainmill.plans.queries_streams  # noqa: F401

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grainmill.functions.hashing import bucket
+from grainmill.operators import epochs as E
 from grainmill.plans.registry import register
 from grainmill.plans.shipping import ship
 from grainmill.plans.tables import table
 from grainmill.plans.workspace import Workspace
 from grainmill.streaming import ledger as L
+from grainmill.streaming.endless import endless_batches
 
 SHARDS, LATE = 8, "1 hour"
 RULES = L.Rules(retention_ms=6 * 3_600_000, capacity=12, max_bytes=2_400, answer_bytes=400)
@@ -54,3 +57,75 @@ def request_outcomes(spark, sf_dir):
     """The same rule over the whole table as a batch: outcomes by shard."""
     ship(spark)
     return L.settle_batch(_requests(table(spark, sf_dir, "events")), RULES).groupBy("shard", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"))
+
+
+BATCH_QUOTAS, EPOCH_SEED, EPOCHS = {"en": 12, "fr": 4, "de": 4, "es": 4}, 21, 2
+
+
+def _numbered(spark, sf_dir):
+    ship(spark)
+    return E.number_cells(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"], Workspace(spark, "cells"))
+
+
+@register(
+    "epoch_batches",
+    f"WITH quotas (lang, quota) AS (VALUES {', '.join(map(str, BATCH_QUOTAS.items()))}), sizes AS (SELECT lang, quota, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents JOIN quotas USING (lang) GROUP BY ALL) "
+    f"SELECT lang, epoch, n, n AS distinct_rows, ids, quota AS least_a_batch, quota AS most_a_batch FROM sizes, (SELECT unnest(range(0, {EPOCHS})) AS epoch)",
+)
+def epoch_batches(spark, sf_dir):
+    """Batches with exact quotas until every language has had two epochs: each takes every document once, each batch exactly its quota."""
+    numbered, sizes = _numbered(spark, sf_dir)
+    last = max(-(-EPOCHS * sizes.get(c, 0) // q) for c, q in BATCH_QUOTAS.items())
+    rows = Workspace(spark, "batches").table("rows", E.drawn_rows(E.planned_places(spark, sizes, BATCH_QUOTAS, 0, last, EPOCH_SEED), numbered, "lang"))
+    per_batch = rows.groupBy("lang", "batch").agg(F.count(F.lit(1)).alias("k")).groupBy("lang").agg(F.min("k").alias("least_a_batch"), F.max("k").alias("most_a_batch"))
+    per_epoch = rows.where(f"epoch < {EPOCHS}").groupBy("lang", "epoch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("distinct_rows"), F.sum("doc_id").alias("ids"))
+    return per_epoch.join(per_batch, "lang").select("lang", "epoch", "n", "distinct_rows", "ids", "least_a_batch", "most_a_batch")
+
+
+@register("epoch_stream", f"SELECT lang, CAST(6 AS BIGINT) AS batches, CAST(6 * any_value(quota) AS BIGINT) AS n FROM documents JOIN (VALUES {', '.join(map(str, BATCH_QUOTAS.items()))}) AS q (lang, quota) USING (lang) GROUP BY lang")
+def epoch_stream(spark, sf_dir):
+    """Six batches of the endless stream, two from its start and four after a restart at the second."""
+    numbered, sizes = _numbered(spark, sf_dir)
+    space = Workspace(spark, "endless")
+    for until in ("2", "6"):
+        stream = endless_batches(spark, numbered, "lang", sizes, BATCH_QUOTAS, seed=str(EPOCH_SEED), until=until, perTrigger="2")
+        query = stream.writeStream.format("parquet").option("path", space.path("rows")).option("checkpointLocation", space.path("checkpoint")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    rows = spark.read.parquet(space.path("rows"))
+    return rows.groupBy("lang").agg(F.count_distinct("batch").alias("batches"), F.count(F.lit(1)).alias("n"))
+
+
+def _visits(spark, sf_dir):
+    ship(spark)
+    inventory = table(spark, sf_dir, "conversations").selectExpr("conv_id AS sample", "turn AS row")
+    return inventory, E.whole_epochs(inventory, ["sample", "row"], EPOCHS, 2, EPOCH_SEED)
+
+
+@register("epoch_coverage", f"SELECT count(*) AS rows, {EPOCHS} * count(*) AS visits, true AS covered FROM conversations")
+def epoch_coverage(spark, sf_dir):
+    """Visits of every turn in two epochs, proved complete by sums."""
+    inventory, visits = _visits(spark, sf_dir)
+    return E.coverage_proof(inventory, visits, ["sample", "row"], EPOCHS)
+
+
+_PLANT = "CAST('0x' || substr(sha256(conv_id || '/' || turn), 1, 8) AS BIGINT) % 50"
+
+
+@register("epoch_differences", f"SELECT conv_id AS sample, turn AS row, {EPOCHS} AS due, {EPOCHS} + CASE {_PLANT} WHEN 0 THEN -1 ELSE 1 END AS visits FROM conversations WHERE {_PLANT} IN (0, 1)")
+def epoch_differences(spark, sf_dir):
+    """The same visits, some lost and some doubled by a hash: the differing rows by name."""
+    inventory, visits = _visits(spark, sf_dir)
+    plant = bucket(F.concat_ws("/", "sample", "row"), 50)
+    damaged = visits.where((plant != 0) | (F.col("epoch") != 1)).withColumn("twice", F.explode(F.when((plant == 1) & (F.col("epoch") == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return E.coverage_differences(inventory, damaged.drop("twice"), ["sample", "row"], EPOCHS)
+
+
+@register("quota_differences", "WITH plan AS (SELECT lang, source, count(*) AS planned FROM documents GROUP BY ALL), kept AS (SELECT lang, source, count(*) AS found FROM documents JOIN labels USING (doc_id) GROUP BY ALL) SELECT lang, source, planned, coalesce(found, 0) AS found FROM plan LEFT JOIN kept USING (lang, source) WHERE planned <> coalesce(found, 0)")
+def quota_differences(spark, sf_dir):
+    """Labelled documents against a plan that wants all: the cells that fall short."""
+    docs = table(spark, sf_dir, "documents")
+    plan = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("planned"))
+    return E.quota_differences(docs.join(table(spark, sf_dir, "labels"), "doc_id"), plan, ["lang", "source"])

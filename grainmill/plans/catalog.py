@@ -10,3 +10,4 @@ import grainmill.plans.queries_evidence  # noqa: F401
 import grainmill.plans.queries_batches  # noqa: F401
 import grainmill.plans.queries_streams  # noqa: F401
 import grainmill.plans.queries_archives  # noqa: F401
+import grainmill.plans.queries_views  # noqa: F401

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm._bytes import SPACED, chunks, mix, shingle_sets
@@ -320,6 +320,13 @@ def _alike(threshold: tuple[int, int]):
     return run
 
 
+_NULL_ID = -(1 << 63)
+
+
+def _given(id_: str | Column) -> Column:
+    return F.nullif(F.col(id_) if isinstance(id_, str) else id_, F.lit(_NULL_ID))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """Group documents whose shingle sets reach a Jaccard similarity, transitively.
 
@@ -331,12 +338,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns one row per input row: ``id``, ``n_shingles`` and ``component``, the
     least id that links reach. Null or empty texts, and texts without words,
     have no shingles and are linked with nothing: each is its own component.
-    Rows that repeat an id stay separate rows. Ids are integers, and not null.
-    An empty table gives an empty result. Other columns are ignored.
+    Rows that repeat an id stay separate rows. Ids are integers; a null id is
+    before all others, and a component that holds one has none. An empty table
+    gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # a null id is the least one until the end
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     summary = space.table("summary", rows.mapInArrow(_summaries(width), _SUMMARY))
     members = summary.where("piece IS NULL").select("id", "n", "cls", "sign")
 
@@ -403,4 +412,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = space.table("named", named)
     first = named.groupBy("comp").agg(F.min("least").alias("component"))
     classes = named.join(first, "comp").select(F.col("cls").alias("of"), "component")
-    return members.join(classes, (F.col("cls") == F.col("of")) & (F.col("n") > 0), "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return members.join(classes, (F.col("cls") == F.col("of")) & (F.col("n") > 0), "left").select(_given("id").alias("id"), F.col("n").cast("long").alias("n_shingles"), _given(F.coalesce("component", "id")).alias("component"))

@@ -161,7 +161,7 @@ def _write(vocabulary, end_id: int, bits: int, block_ids: int):
         encoder = _encoder(vocabulary.value)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
+                docs.append(NULL_ID if doc is None else doc)
                 runs.append(np.frombuffer(encoder.encode(text.as_py() or "") + last, "<u4"))
                 filled += len(runs[-1])
                 if filled >= block_ids:
@@ -172,6 +172,8 @@ def _write(vocabulary, end_id: int, bits: int, block_ids: int):
     return run
 
 
+#: Stands for a null id in the files, which come first.
+NULL_ID = -(1 << 63)
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = ["part", "block", "first_doc", "n_docs", "start", "n_ids", "bits", "doc_ids", "doc_starts", "payload"]
 
@@ -180,7 +182,8 @@ def write_packed(docs: DataFrame, path: str, vocabulary_file: str, id_col: str =
     """Encode whole texts and write their ids under ``path``, documents in ascending id order.
 
     Null and empty texts give the end id alone. Rows that repeat an id are kept,
-    next to each other. An empty table writes no block. Other columns are ignored.
+    next to each other. Rows without an id come first and are read back without
+    one. An empty table writes no block. Other columns are ignored.
     ``part`` and ``block`` order the blocks; ``start`` counts ids within a part.
     """
     from tokenizers import Tokenizer
@@ -203,7 +206,7 @@ def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = unpack(payload, bits, 0, n_ids).astype("<u4").tobytes()
             at = np.frombuffer(begins, "<i8").tolist()
             view = memoryview(every)
-            ids += np.frombuffer(docs, "<i8").tolist()
+            ids += [None if d == NULL_ID else d for d in np.frombuffer(docs, "<i8").tolist()]
             start += [base + a for a in at[:-1]]
             size += [b - a for a, b in zip(at[:-1], at[1:], strict=True)]
             crc += [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]

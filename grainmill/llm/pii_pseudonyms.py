@@ -22,7 +22,8 @@ _EPOCH, _DAYS = "1800-01-01", (189, 773)
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 # Fixed patterns of the kinds, in order of precedence.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+# Repeated groups are possessive: Java then repeats them in a loop and not by a call for each turn.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?+(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?+)++"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|(?<!\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.[0-9])|(?:" + "|".join(_MONTHS) + r") [0-9]{1,2}, [0-9]{4})(?![0-9/-])"
@@ -35,6 +36,8 @@ _WORD = r"(?![0-9]{1,2}/[0-9])[0-9]{2,}+(?:[.-][0-9]++)*+(?![0-9A-Za-z])"
 NUMBERS = rf"(?<![0-9A-Za-z.+-])(?:\([0-9]{{2,4}}\)[ .-]?)?{_WORD}(?: {_WORD})*+(?: [0-9](?![0-9A-Za-z]|[./-][0-9]))?+"
 #: National digits of country codes that have one length only.
 _PLANS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "86": 11, "91": 10, "351": 9}
+#: A country code before a separator, or of a plan whose national digits follow.
+_CODE = r"^\+(?:[0-9]{1,3}(?=[ .(-])|" + "|".join(rf"{code}(?=(?:[ .()-]*+[0-9]){{{n}}}$)" for code, n in _PLANS.items()) + ")"
 #: Shapes that show where a value ends, whatever number follows it, and shapes that only end before one of those.
 _BOUND = "|".join(
     (
@@ -110,8 +113,8 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the subscriber's digits are permuted."""
-    lead = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    """The country code stays, set apart or known by its plan; the subscriber's digits are permuted."""
+    lead = F.regexp_extract(m, _CODE, 0)
     rest = F.substr(m, F.length(lead) + 1, F.length(m))
     return F.concat(lead, _let(F.regexp_replace(rest, "[^0-9]", ""), lambda d: _refill(rest, permute_digits(d, key, F.lit("phone")))))
 
@@ -266,10 +269,15 @@ def _segments(m: Column) -> Column:
     return F.when(spaced, _let(F.split(m, " "), cut)).otherwise(F.array(make(m, kind_of(m))))
 
 
+def _cased(m: Column, made: Column) -> Column:
+    """In capitals where the value has no small letter."""
+    return F.when(m == F.upper(m), F.upper(made)).otherwise(made)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a match of a kind."""
     plain_digits = _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _refill(m, permute_digits(d, key, kind)))
-    made = F.when(kind == "email", _email(m, key)).when(kind == "secret", _letters(F.lower(m), key, "secret", "0123456789abcdef")).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key))
+    made = F.when(kind == "email", _email(m, key)).when(kind == "secret", _cased(m, _letters(F.lower(m), key, "secret", "0123456789abcdef"))).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key))
     return made.when(kind == "iban", _iban(m, key)).when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key)).when(kind.isNotNull(), plain_digits).otherwise(m)
 
 

@@ -87,7 +87,6 @@ def _spans(words: Words, starts: np.ndarray, min_sentences: int, min_words: int,
 def _emit_spans(min_sentences: int, min_words: int, alone: int | None, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, words in chunks(batch.column(1), SPACED):
                 starts = sentence_starts(words)
                 span, first, last = _spans(words, starts, min_sentences, min_words, alone, whole)
@@ -95,7 +94,7 @@ def _emit_spans(min_sentences: int, min_words: int, alone: int | None, whole: bo
                     continue
                 doc = np.searchsorted(words.first, starts[first], "right") - 1
                 base = np.searchsorted(starts, words.first[doc])
-                yield pa.RecordBatch.from_arrays([pa.array(span.view(np.int64)), pa.array(ids[low + doc]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["span", "id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(span.view(np.int64)), *(batch.column(c).take(pa.array(low + doc)) for c in (0, 2)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["span", "id", "body", "first", "last"])
 
     return run
 
@@ -160,18 +159,21 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts stay null and empty ones empty, with no sentences. With
     ``whole``, a text that repeats an earlier one wholly is left empty. Rows that repeat an id are told apart by
     their texts; equal rows of one id are one document and keep the same
-    sentences. Ids are integers, not null. An empty table gives an empty result.
+    sentences. Ids are integers; rows without one come before all others. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = rows.mapInArrow(_emit_spans(min_sentences, min_words, alone, whole), "span long, id long, first int, last int")
-    known = spans.select("span", F.struct("id", F.expr("shiftleft(cast(first AS bigint), 32) | last").alias("place")).alias("at"))
+    text = F.col(text_col).cast("string")
+    # rows that share an id are told apart by a hash of their texts
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("body"))
+    spans = rows.mapInArrow(_emit_spans(min_sentences, min_words, alone, whole), "span long, id long, body long, first int, last int")
+    known = spans.select("span", F.struct("id", "body", F.expr("shiftleft(cast(first AS bigint), 32) | last").alias("place")).alias("at"))
     # summed before the shuffle; the join that follows lets Spark split a span that very many documents share
     heads = known.groupBy("span").agg(F.min("at").alias("head"), F.max("at").alias("tail")).where("head <> tail").select("span", "head")
-    repeats = known.join(heads, "span").where("at <> head").select("at.id", "at.place")
+    repeats = known.join(heads, "span").where("at <> head").select("at.id", "at.body", "at.place")
     repeats = space.table("repeats", repeats.distinct())
-    drops = repeats.groupBy("id").agg(F.collect_list("place").alias("places"))
-    drops = drops.select(F.col("id").alias("of"), F.expr("transform(places, p -> array(cast(shiftright(p, 32) AS int), cast(p & 4294967295 AS int)))").alias("gone"))
-    joined = rows.join(drops, F.col("id") == F.col("of"), "left").select("id", "text", "gone")
+    drops = repeats.groupBy("id", "body").agg(F.collect_list("place").alias("places"))
+    drops = drops.select(F.col("id").alias("of"), F.col("body").alias("of_body"), F.expr("transform(places, p -> array(cast(shiftright(p, 32) AS int), cast(p & 4294967295 AS int)))").alias("gone"))
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")), "left").select("id", "text", "gone")
     return joined.mapInArrow(_cut, "id long, text string, n_sentences int, removed array<struct<start: int, stop: int>>")

@@ -17,6 +17,7 @@ from grainmill.llm.jaccard_join import jaccard_components
 from grainmill.llm.quality_rules import judge_quality
 from grainmill.llm.queries import SHARD_BYTES
 from grainmill.llm.source_mixture import mix_sources, mixed_rows
+from grainmill.operators.ordered import running_sums
 from grainmill.plans.shipping import ship
 from grainmill.plans.workspace import Workspace
 
@@ -25,25 +26,30 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep; null and empty texts fail them. Ids are not looked at."""
     ship(spark)
     return judge_quality(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; rows that repeat an id are one document."""
+    """Of each group of linked documents the one with the least id.
+
+    Where ids repeat or are null, rows of equal id and text are one document, and
+    others are told apart by their place in the order of ids and texts.
+    """
     ship(spark)
-    first = jaccard_components(docs).where("id = component").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    first = Workspace(spark, "first-of-group").table("ids", first)
-    kept = docs.join(first.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = first.where("_rows > 1").select("doc_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        first = jaccard_components(docs).where("id = component").select(F.col("id").alias("doc_id"))
+        return docs.join(Workspace(spark, "first-of-group").table("ids", first), "doc_id", "left_semi").select(*docs.columns)
+    space = Workspace(spark, "ranked")
+    each = docs.dropDuplicates(["doc_id", "text"])
+    ranked = space.table("docs", running_sums(each, ["doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()], {"_rank": F.lit(1)}))
+    first = space.table("ids", jaccard_components(ranked, id_col="_rank").where("id = component").select(F.col("id").alias("_rank")))
+    return ranked.join(first, "_rank", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark windows."""
+    """Documents of which less than a twentieth lies in benchmark windows; null ids stay as they are, rows of one id go together."""
     ship(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = contamination(benchmark_overlap(docs, benchmark)).where("contaminated").select(F.col("id").alias("doc_id")).distinct()
@@ -51,13 +57,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time a document is taken."""
+    """The mix: a row for each time a document is taken; texts without words are not taken."""
     ship(spark)
     return mixed_rows(mix_sources(docs)).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard."""
+    """Every row, null ids and texts too, with its shard."""
     ship(spark)
     return assign_shards(docs, SHARD_BYTES)
 

@@ -12,3 +12,4 @@ import grainmill.plans.queries_streams  # noqa: F401
 import grainmill.plans.queries_archives  # noqa: F401
 import grainmill.plans.queries_views  # noqa: F401
 import grainmill.plans.queries_calibration  # noqa: F401
+import grainmill.plans.queries_records  # noqa: F401

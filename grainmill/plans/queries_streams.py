@@ -67,35 +67,46 @@ def _numbered(spark, sf_dir):
     return E.number_cells(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"], Workspace(spark, "cells"))
 
 
-@register(
-    "epoch_batches",
-    f"WITH quotas (lang, quota) AS (VALUES {', '.join(map(str, BATCH_QUOTAS.items()))}), sizes AS (SELECT lang, quota, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents JOIN quotas USING (lang) GROUP BY ALL) "
-    f"SELECT lang, epoch, n, n AS distinct_rows, ids, quota AS least_a_batch, quota AS most_a_batch FROM sizes, (SELECT unnest(range(0, {EPOCHS})) AS epoch)",
-)
+_QUOTA_VALUES = f"(VALUES {', '.join(map(str, BATCH_QUOTAS.items()))}) AS q (lang, quota)"
+
+
+def _per_document(rows, epochs: int):
+    """Visits of every document in the first epochs, with the least and most rows that a batch took of its language."""
+    per_batch = rows.groupBy("lang", "batch").agg(F.count(F.lit(1)).alias("k")).groupBy("lang").agg(F.min("k").alias("least_a_batch"), F.max("k").alias("most_a_batch"))
+    visits = rows.where(f"epoch < {epochs}").groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("visits"), F.count_distinct("epoch").alias("epochs"))
+    return visits.join(F.broadcast(per_batch), "lang").select("doc_id", "lang", "visits", "epochs", "least_a_batch", "most_a_batch")  # a row for each planned language
+
+
+def _visited(epochs: int) -> str:
+    return f"SELECT doc_id, lang, CAST({epochs} AS BIGINT) AS visits, CAST({epochs} AS BIGINT) AS epochs, CAST(quota AS BIGINT) AS least_a_batch, CAST(quota AS BIGINT) AS most_a_batch FROM documents JOIN {_QUOTA_VALUES} USING (lang)"
+
+
+def _batches_for(sizes, epochs: int) -> int:
+    return max(-(-epochs * sizes.get(c, 0) // q) for c, q in BATCH_QUOTAS.items())
+
+
+@register("epoch_batches", _visited(EPOCHS))
 def epoch_batches(spark, sf_dir):
     """Batches with exact quotas until every language has had two epochs: each takes every document once, each batch exactly its quota."""
     numbered, sizes = _numbered(spark, sf_dir)
-    last = max(-(-EPOCHS * sizes.get(c, 0) // q) for c, q in BATCH_QUOTAS.items())
-    rows = Workspace(spark, "batches").table("rows", E.drawn_rows(E.planned_places(spark, sizes, BATCH_QUOTAS, 0, last, EPOCH_SEED), numbered, "lang"))
-    per_batch = rows.groupBy("lang", "batch").agg(F.count(F.lit(1)).alias("k")).groupBy("lang").agg(F.min("k").alias("least_a_batch"), F.max("k").alias("most_a_batch"))
-    per_epoch = rows.where(f"epoch < {EPOCHS}").groupBy("lang", "epoch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("distinct_rows"), F.sum("doc_id").alias("ids"))
-    return per_epoch.join(per_batch, "lang").select("lang", "epoch", "n", "distinct_rows", "ids", "least_a_batch", "most_a_batch")
+    rows = E.drawn_rows(E.planned_places(spark, sizes, BATCH_QUOTAS, 0, _batches_for(sizes, EPOCHS), EPOCH_SEED), numbered, "lang")
+    return _per_document(Workspace(spark, "batches").table("rows", rows), EPOCHS)
 
 
-@register("epoch_stream", f"SELECT lang, CAST(6 AS BIGINT) AS batches, CAST(6 * any_value(quota) AS BIGINT) AS n FROM documents JOIN (VALUES {', '.join(map(str, BATCH_QUOTAS.items()))}) AS q (lang, quota) USING (lang) GROUP BY lang")
+@register("epoch_stream", _visited(1))
 def epoch_stream(spark, sf_dir):
-    """Six batches of the endless stream, two from its start and four after a restart at the second."""
+    """The same batches as an endless stream, stopped after a third of an epoch and started again from its checkpoint."""
     numbered, sizes = _numbered(spark, sf_dir)
     space = Workspace(spark, "endless")
-    for until in ("2", "6"):
-        stream = endless_batches(spark, numbered, "lang", sizes, BATCH_QUOTAS, seed=str(EPOCH_SEED), until=until, perTrigger="2")
+    last = _batches_for(sizes, 1)
+    for until in (max(1, last // 3), last):
+        stream = endless_batches(spark, numbered, "lang", sizes, BATCH_QUOTAS, seed=str(EPOCH_SEED), until=str(until), perTrigger=str(max(1, last // 3)))
         query = stream.writeStream.format("parquet").option("path", space.path("rows")).option("checkpointLocation", space.path("checkpoint")).start()
         try:
             query.processAllAvailable()
         finally:
             query.stop()
-    rows = spark.read.parquet(space.path("rows"))
-    return rows.groupBy("lang").agg(F.count_distinct("batch").alias("batches"), F.count(F.lit(1)).alias("n"))
+    return _per_document(spark.read.parquet(space.path("rows")), 1)
 
 
 def _visits(spark, sf_dir):

@@ -13,9 +13,16 @@ from pyspark.sql.types import StructType
 from grainmill.operators.epochs import PLACES, batch_places, drawn_rows
 
 
+#: Parts into which a cell's batches of one micro-batch are cut, at most.
+PARTS = 16
+#: Rows that a task makes at once.
+ROWS = 1 << 16
+
+
 @dataclass
-class CellBatch(InputPartition):
-    batch: int
+class CellBatches(InputPartition):
+    first: int
+    last: int
     cell: str
     n: int
     quota: int
@@ -41,12 +48,17 @@ class _Reader(DataSourceStreamReader):
             self.reached = min(self.reached, max(self.until, self.start))
         return {"batch": self.reached}
 
-    def partitions(self, start: dict, end: dict) -> list[CellBatch]:
-        self.reached = max(self.reached, end["batch"])
-        return [CellBatch(b, c, n, q) for b in range(start["batch"], end["batch"]) for c, (n, q) in self.cells.items()]
-
-    def read(self, partition: CellBatch) -> Iterator:
-        yield batch_places(partition.cell, partition.n, partition.quota, partition.batch, partition.batch + 1, self.seed)
+    def partitions(self, start: dict, end: dict) -> list[CellBatches]:
+        low, high = start["batch"], end["batch"]
+        self.reached = max(self.reached, high)
+        width = max(1, -(-(high - low) // PARTS))
+        return [CellBatches(b, min(b + width, high), c, n, q) for b in range(low, high, width) for c, (n, q) in self.cells.items()]
+
+    def read(self, partition: CellBatches) -> Iterator:
+        p = partition
+        step = max(1, ROWS // p.quota)
+        for b in range(p.first, p.last, step):
+            yield batch_places(p.cell, p.n, p.quota, b, min(b + step, p.last), self.seed)
 
     def commit(self, end: dict) -> None:
         pass

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from grainmill.functions import text as T
 
@@ -33,36 +35,50 @@ def bm25(spans: DataFrame, queries: DataFrame, doc: str = "doc_id", span: str =
     return spans.select(doc, span).join(found, [doc, span], "left").select(doc, span, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _tokens(text: str | None) -> list[str]:
+    return [w for w in re.findall("[a-z0-9]+", (text or "").lower().replace("ß", "ss")) if len(w) > 1 and w not in T.STOP_WORDS]
+
+
+def _score(texts: Sequence[str | None], asked: str | None) -> list[float]:
+    """Scores of one document's spans; sums are exact, so that spans with equal words score alike in any order of them."""
+    counts, df, terms = [Counter(_tokens(t)) for t in texts], Counter(), set(_tokens(asked))
+    lengths = [sum(c.values()) for c in counts]
+    for c in counts:
+        df.update(c.keys() & terms)
+    n, mean = len(counts), max(sum(lengths) / max(len(lengths), 1), 1.0)
+    idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (K1 + 1) for t in df}
+    out = []
+    for c, length in zip(counts, lengths, strict=True):
+        norm = K1 * (1 - B + B * length / mean)
+        out.append(math.fsum(idf[t] * c[t] / (c[t] + norm) for t in c.keys() & idf.keys()))
+    return out
+
+
+@F.pandas_udf(ST.ArrayType(ST.DoubleType()))
+def _row_scores(texts: pd.Series, asked: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _score(t, q) for t, q in zip(texts, asked, strict=True)], dtype=object)
+
+
 def bm25_in_row(spans: Column, query: Column) -> Column:
     """The same scores where a document's spans (array of text) are in its own row: nothing is shuffled.
 
     Null spans or a null query score as empty ones; a null array gives null.
     """
-    stop = frozenset(T.STOP_WORDS)
+    return _row_scores(spans, query)
 
-    def tokens(text: str | None) -> list[str]:
-        return [w for w in re.findall("[a-z0-9]+", (text or "").lower().replace("ß", "ss")) if len(w) > 1 and w not in stop]
 
-    def score(texts, asked: str | None) -> list[float] | None:
-        if texts is None:
-            return None
-        counts, df, terms = [Counter(tokens(t)) for t in texts], Counter(), set(tokens(asked))
-        lengths = [sum(c.values()) for c in counts]
-        for c in counts:
-            df.update(c.keys())
-        n, mean = len(counts), max(sum(lengths) / max(len(lengths), 1), 1.0)
-        idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (K1 + 1) for t in terms & df.keys()}
-        out = []
-        for c, length in zip(counts, lengths, strict=True):
-            norm = K1 * (1 - B + B * length / mean)
-            out.append(sum(idf[t] * k / (k + norm) for t, k in c.items() if t in idf))
-        return out
+@F.pandas_udf(ST.ArrayType(ST.StructType().add("start", ST.IntegerType()).add("stop", ST.IntegerType()).add("score", ST.DoubleType())))
+def _scored_spans(text: pd.Series, asked: pd.Series) -> pd.Series:
+    out = []
+    for t, q in zip(text, asked, strict=True):
+        spans = T.span_bounds(t)
+        out.append([{"start": a, "stop": b, "score": x} for (a, b), x in zip(spans, _score([t[a:b] for a, b in spans], q), strict=True)])
+    return pd.Series(out, dtype=object)
 
-    @F.pandas_udf("array<double>")
-    def scores(texts: pd.Series, asked: pd.Series) -> pd.Series:
-        return pd.Series([score(t, q) for t, q in zip(texts, asked, strict=True)], dtype=object)
 
-    return scores(spans, query)
+def scored_evidence_spans(text: Column, query: Column) -> Column:
+    """Evidence spans of a text with their BM25 scores, in its own row; a null text has none."""
+    return _scored_spans(text, query)
 
 
 def pack_spans(ranked: DataFrame, budget: int, doc: str = "doc_id") -> DataFrame:
@@ -86,7 +102,12 @@ def select_spans(spans: DataFrame, scores: DataFrame, doc: str = "doc_id", budge
     ``scores``: (``doc``, ``span``, ``score``). Equal scores rank by place. Sources of at most ``WHOLE_CHARS``
     characters have no selection. Returns ``doc``, ``chars`` and ``spans`` in their order in the source.
     """
-    rows = spans.where(F.col("length") > WHOLE_CHARS).join(scores, [doc, "span"])
+    return select_scored(spans.join(scores, [doc, "span"]), doc, budget)
+
+
+def select_scored(rows: DataFrame, doc: str = "doc_id", budget: int = SELECT_CHARS) -> DataFrame:
+    """The same selection of spans that carry their ``score``: one shuffle by document, without its text."""
+    rows = rows.where(F.col("length") > WHOLE_CHARS)
     by_score = Window.partitionBy(doc).orderBy(F.desc("score"), "span")
     by_place = Window.partitionBy(doc).orderBy("span")
     rows = rows.withColumn("rank", F.row_number().over(by_score))

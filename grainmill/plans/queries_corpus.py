@@ -11,6 +11,7 @@ from grainmill.operators import groups as G
 from grainmill.operators import retrieval as R
 from grainmill.operators import splits as S
 from grainmill.plans.registry import register
+from grainmill.plans.shipping import ship
 from grainmill.plans.tables import table
 
 _FOLD = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
@@ -197,6 +198,7 @@ SELECT s.doc_id, CAST(s.span AS INTEGER) AS span, round(coalesce(score, 0), 6) A
 )
 def bm25_spans(spark, sf_dir):
     """Lines of every document, in any language, against its whole text."""
+    ship(spark)
     docs = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"), "text")
     scored = docs.select("doc_id", F.posexplode(R.bm25_in_row(F.col("lines"), F.col("text"))).alias("span", "score"))
     return scored.select("doc_id", "span", F.round("score", 6).alias("score"))
@@ -216,11 +218,14 @@ def evidence_spans(spark, sf_dir):
 
 @register("evidence_selection")
 def evidence_selection(spark, sf_dir):
-    """Spans chosen from every long document, with its source and language as the question."""
-    docs = _docs(spark, sf_dir)
-    spans = docs.select("doc_id", F.length("text").alias("length"), "text", F.posexplode(T.evidence_spans("text")).alias("span", "s")).select("doc_id", "length", "span", "s.start", "s.stop", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
-    scores = R.bm25(spans, docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("query")))
-    return R.select_spans(spans.drop("text"), scores).select("doc_id", "chars", F.array_join("spans", ",").alias("spans"))
+    """Spans chosen from every long document, with its source and language as the question.
+
+    Spans are cut and scored in the document's own row; only their places and scores are shuffled.
+    """
+    ship(spark)
+    docs = _docs(spark, sf_dir).select("doc_id", F.length("text").alias("length"), "text", F.concat_ws(" ", "source", "lang").alias("query"))
+    rows = docs.where(F.col("length") > R.WHOLE_CHARS).select("doc_id", "length", F.posexplode(R.scored_evidence_spans(F.col("text"), F.col("query"))).alias("span", "s")).select("doc_id", "length", "span", "s.*")
+    return R.select_scored(rows).select("doc_id", "chars", F.array_join("spans", ",").alias("spans"))
 
 
 @register("role_by_hash")

@@ -71,6 +71,25 @@ def test_selection_keeps_head_tail_best_and_neighbours(spark):
     assert R.select_spans(spans.withColumn("length", F.lit(5000)), scores).count() == 0
 
 
+def test_selection_shuffles_places_of_spans_only(spark, data):
+    """One exchange, without texts or words; the spans are those that the join of terms gives."""
+    got = registry.queries()["evidence_selection"](spark, data)
+    plan = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    docs = table(spark, data, "documents")
+    spans = docs.select("doc_id", F.length("text").alias("length"), "text", F.posexplode(T.evidence_spans("text")).alias("span", "s")).select("doc_id", "length", "span", "s.*", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
+    want = R.select_spans(spans.drop("text"), R.bm25(spans, docs.selectExpr("doc_id", "concat_ws(' ', source, lang) AS query")))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows and rows == sorted((r.doc_id, r.chars, ",".join(map(str, r.spans))) for r in want.collect())
+
+
+def test_scored_spans_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None, "word"), (2, "", "word"), (3, "Word. Other", None), (4, "é zz. Word word? Else; Word", "WORD")], "id int, t string, q string")
+    got = {r.id: [tuple(s) for s in r.x] for r in rows.select("id", R.scored_evidence_spans(F.col("t"), F.col("q")).alias("x")).collect()}
+    assert got[1] == got[2] == [] and got[3] == [(0, 6, 0.0), (6, 11, 0.0)]
+    assert [s[:2] for s in got[4]] == [(0, 6), (6, 17), (17, 23), (23, 27)] and got[4][1][2] > got[4][3][2] > 0 == got[4][0][2] == got[4][2][2]
+
+
 def test_evidence_rules(spark):
     none = F.array().cast("array<string>")
     r = spark.range(1).select(

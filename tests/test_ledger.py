@@ -4,7 +4,10 @@ import hashlib
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,56 @@ def test_stream_in_any_order_equals_batch(spark, tmp_path, case, seed):
 def test_null_times_are_left_out(spark):
     df = spark.createDataFrame([(1, None, "k", "a", 5)], "id long, ts timestamp, key string, body string, size long")
     assert L.settle_batch(keyed(df), RULES).count() == 0 and keyed(df).where(F.col("shard").isNull()).count() == 0
+
+
+class Cells(dict):
+    """A map state that notes the most rows of waiting requests that one value has held."""
+
+    most = 0
+
+    def updateValue(self, key, value):
+        if isinstance(value[0], bytes):
+            Cells.most = max(Cells.most, pa.ipc.open_stream(value[0]).read_all().num_rows)
+        self[key] = value
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, Cells())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_state_keeps_small_sorted_pieces(case):
+    """No value holds more than a piece of the requests that wait, a watermark inside a slice keeps the rest of it, all answers are the walk's."""
+    rows, _, want = case
+    random.seed(3)
+    frame = pd.DataFrame([(int((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1)), i, k, hashlib.sha256((b or "").encode()).hexdigest(), z or 0) for i, at, k, b, z in random.sample(rows, len(rows))], columns=["micros", "id", "key", "digest", "size"])
+    settler, handle, got = L._Settler(RULES, 700_000, 60, 7), Handle(), []
+    settler.init(handle)
+    list(settler.handleInputRows((0,), (frame.iloc[n : n + 20] for n in range(0, len(frame), 20)), None))
+    assert 0 < Cells.most <= 7 and len(handle.states["waiting"]) >= len(rows) / 7
+    for passed in [int(frame["micros"].median()) // 1000, 1 << 50]:
+        while due := sorted(t for t in handle.timers if t <= passed):
+            handle.timers.remove(due[0])
+            for part in settler.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), SimpleNamespace(getExpiryTimeInMs=lambda: due[0])):
+                assert len(part) <= 7
+                got += [(r.id, (r.outcome, r.n_bytes)) for r in part.itertuples()]
+    assert not handle.states["waiting"] and not handle.states["runs"] and Cells.most <= 7
+    one = walk(rows, defaultdict(int))
+    assert len(got) == len(rows) and dict(got) == one and one.keys() == want.keys()
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert [i for i, _ in got] == order

@@ -90,6 +90,29 @@ def argument_errors(name: Column, args: Column, fields: Column) -> Column:
     return F.when(fields.isNull(), F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit(""))))).when(have.isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_compact(F.transform(fields, one)))
 
 
+def with_calls(turns: DataFrame) -> DataFrame:
+    """Conversations in which every assistant's turn makes two calls, one on the other's result, and tools answer.
+
+    A turn's text becomes ``content`` beside ``tool_calls``: ``file``, named first, refers to ``measure``. By the crc32 of
+    ``conv_id:turn`` mod 10, 0 leaves out the title to file under, 1 gives its size as text, 2 loses the answer to
+    ``measure``, 3 answers ``file`` once more a turn later, and 4 answers a call that nobody made. Texts that are objects
+    already, other roles and rows without conv_id or turn stay as they are.
+    """
+    base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    plain = F.expr("coalesce(role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL AND NOT coalesce(rlike(text, '^\\\\s*[{]'), false), false)")
+    draw = F.when(plain, F.pmod(F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), "turn").cast("binary")), F.lit(10)))
+    base = base.withColumn("draw", draw).withColumns({k: F.concat(F.col("turn").cast("string"), F.lit(k)) for k in ("m", "f", "x")})
+    size = F.coalesce(F.length("text"), F.lit(0))
+    filed = lambda n: F.to_json(F.struct(F.struct(F.col("m").alias("$ref")).alias("measured"), n.alias("size"), F.when(F.col("draw") != 0, F.concat(F.lit("turn "), "turn")).alias("title")))
+    file = F.struct(F.col("f").alias("id"), F.lit("file").alias("name"), F.when(F.col("draw") == 1, filed(size.cast("string"))).otherwise(filed(size)).alias("arguments"))
+    measure = F.struct(F.col("m").alias("id"), F.lit("measure").alias("name"), F.to_json(F.struct(F.col("turn"), F.lit("characters").alias("unit"))).alias("arguments"))
+    made = F.to_json(F.struct(F.col("text").alias("content"), F.array(file, measure).alias("tool_calls")))
+    answer = lambda id_, later=0: F.struct((F.col("turn") + later).alias("turn"), F.to_json(F.struct(size.alias("content"), F.col(id_).alias("tool_call_id"))).alias("text"))
+    answers = F.array_compact(F.array(F.when(F.col("draw") != 2, answer("m")), answer("f"), F.when(F.col("draw") == 3, answer("f", 1)), F.when(F.col("draw") == 4, answer("x"))))
+    given = base.where("draw IS NOT NULL").select("conv_id", F.explode(answers).alias("a")).select("conv_id", "a.turn", F.lit("tool").alias("role"), "a.text")
+    return base.select("conv_id", "turn", "role", F.when(F.col("draw").isNotNull(), made).otherwise(F.col("text")).alias("text")).unionByName(given)
+
+
 def chat_lines(turns: DataFrame, schemas: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
     """Canonical lines of conversations (``conv_id``, ``turn``, ``role``, ``text``).
 
@@ -101,7 +124,7 @@ def chat_lines(turns: DataFrame, schemas: Mapping[str, Mapping[str, object]] | N
 
     Statuses of calls: linked, no_result, duplicate_call (an id used before in the
     conversation), cycle, no_id. Of results: linked, duplicate_result (not the
-    first), orphan. Texts that are not JSON, or repeat a key, are messages as they
+    first), orphan; a turn of role ``tool`` that names no call is one, its whole text the content. Texts that are not JSON, or repeat a key, are messages as they
     are. Null roles and texts stay null in their line; rows without conv_id are
     never linked. Repeated rows are repeated lines. An empty table gives none.
     Other columns are ignored.
@@ -111,16 +134,18 @@ def chat_lines(turns: DataFrame, schemas: Mapping[str, Mapping[str, object]] | N
     base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
     looks = F.col("text").rlike(r"^\s*\{")
     base = base.withColumn("v", F.when(looks, F.try_parse_json("text")))
-    base = base.withColumn("result_id", _field(F.col("v"), "$.tool_call_id")).withColumn("is_call", F.coalesce(F.size(_field(F.col("v"), "$.tool_calls", "array<variant>")) > 0, F.lit(False)))
+    base = base.withColumn("result_id", _field(F.col("v"), "$.tool_call_id")).withColumn("is_result", F.expr("result_id IS NOT NULL OR coalesce(role = 'tool', false)")).withColumn("is_call", F.coalesce(F.size(_field(F.col("v"), "$.tool_calls", "array<variant>")) > 0, F.lit(False)))
     none, no_errors = F.lit(None).cast("string"), F.array().cast("array<string>")
 
     message = F.to_json(F.struct(F.when(F.col("is_call"), _field(F.col("v"), "$.content")).otherwise(F.col("text")).alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
-    messages = base.where("result_id IS NULL").select("conv_id", "turn", F.lit(0).alias("level"), F.lit("message").alias("kind"), none.alias("call_id"), none.alias("status"), no_errors.alias("errors"), message.alias("json"))
+    messages = base.where("NOT is_result").select("conv_id", "turn", F.lit(0).alias("level"), F.lit("message").alias("kind"), none.alias("call_id"), none.alias("status"), no_errors.alias("errors"), message.alias("json"))
 
     calls = parse_calls(base)
-    if calls.isEmpty() and base.where("result_id IS NOT NULL").isEmpty():
+    if calls.isEmpty() and base.where("is_result").isEmpty():
         return messages.select(*_LINE)
-    results = base.where("result_id IS NOT NULL").select("conv_id", "turn", F.col("result_id").alias("call_id"), _field(F.col("v"), "$.content", "variant").alias("content"))
+    whole = _field(F.try_parse_json(F.to_json(F.struct("text"))), "$.text", "variant")
+    content = F.when(F.col("result_id").isNull(), whole).otherwise(_field(F.col("v"), "$.content", "variant"))
+    results = base.where("is_result").select("conv_id", "turn", F.col("result_id").alias("call_id"), content.alias("content"))
     calls, results = space.table("calls", calls), space.table("results", results)
 
     first = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "needs")).alias("f")).select("conv_id", "call_id", "f.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import packed_ids as K
 from grainmill.llm import quality_rules as QR
+from grainmill.llm import queries as Q
 from grainmill.llm import source_mixture as M
 from grainmill.llm import toxic_spans as TX
 from grainmill.llm.extendible_shards import assign_shards
@@ -299,6 +300,33 @@ def test_chat_lines(spark, data):
     assert sorted((r.conv_id, r.turn, json.loads(r.json)["content"]) for r in chat_lines(plain).collect()) == want
 
 
+def test_call_query_runs_every_step(spark, data):
+    """Calls are linked, put after what they depend on and checked in the registered query; every turn keeps its message."""
+    turns = spark.read.parquet(f"{data}/conversations.parquet").collect()
+    want = []
+    for r in turns:
+        want.append((r.conv_id, r.turn, 0, "message", None, None, (), {"content": r.text, "role": r.role}))
+        if r.role != "assistant":
+            continue
+        t, n, draw = r.turn, len(r.text), zlib.crc32(f"{r.conv_id}:{r.turn}".encode()) % 10
+        filed = {"measured": {"$ref": f"{t}m"}, "size": str(n) if draw == 1 else n} | ({} if draw == 0 else {"title": f"turn {t}"})
+        faults = ("missing title",) if draw == 0 else ("not integer: size",) if draw == 1 else ()
+        want.append((r.conv_id, t, 1, "call", f"{t}m", "no_result" if draw == 2 else "linked", (), {"arguments": {"turn": t, "unit": "characters"}, "id": f"{t}m", "name": "measure"}))
+        want.append((r.conv_id, t, 3, "call", f"{t}f", "linked", faults, {"arguments": filed, "id": f"{t}f", "name": "file"}))
+        answers = [(t, 2, "m", "linked")] * (draw != 2) + [(t, 4, "f", "linked")] + [(t + 1, 2, "f", "duplicate_result")] * (draw == 3) + [(t, 2, "x", "orphan")] * (draw == 4)
+        want += [(r.conv_id, at, level, "result", f"{t}{k}", status, (), {"content": n, "tool_call_id": f"{t}{k}"}) for at, level, k, status in answers]
+    got = [(r.conv_id, r.turn, r.level, r.kind, r.call_id, r.status, tuple(r.errors), r.json) for r in Q.op6_tool_call_linking(spark, data).collect()]
+    dumped = [(*w[:-1], json.dumps(w[-1], sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for w in want]
+    assert sorted(got, key=str) == sorted(dumped, key=str)
+    assert {w[5] for w in want} == {None, "linked", "no_result", "duplicate_result", "orphan"} and {e for w in want for e in w[6]} == {"missing title", "not integer: size"}
+
+
+def test_tool_turns_without_an_id_are_orphans(spark):
+    rows = [(1, 0, "tool", "plain \u00e9 text"), (1, 1, "tool", None), (1, 2, "tool", '{"content":3}'), (1, 3, "user", "x")]
+    got = sorted((r.turn, r.kind, r.status, json.loads(r.json).get("content")) for r in chat_lines(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect())
+    assert got == [(0, "result", "orphan", "plain \u00e9 text"), (1, "result", "orphan", None), (2, "result", "orphan", '{"content":3}'), (3, "message", None, "x")]
+
+
 # quality
 
 

@@ -43,6 +43,8 @@ _FILTER_BITS = (20, 28)
 _STAR_ROUNDS = 2
 #: Members of a list that one head is compared with.
 LIST_GROUP = 256
+#: Members of a long list that the last round holds in a task at a time, on either side.
+CELL = 1024
 _SUBSET = np.uint64(0xA0761D6478BD642F)
 
 _SUMMARY_NAMES = ["id", "n", "cls", "sign", "piece", "cells"]
@@ -320,6 +322,47 @@ def _alike(threshold: tuple[int, int]):
     return run
 
 
+def _folded(signs: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(signs.reshape(len(signs), -1, size), axis=1)
+
+
+def _meet(threshold: tuple[int, int]):
+    """Of one cell of a long list: pairs of a stray and a member of another component that lengths, places and signatures allow to link."""
+    num, den = threshold
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, n, pos, comp, main = (table[c].to_numpy().astype(np.int64) for c in ("cls", "n", "pos", "comp", "main_comp"))
+        left = table["stray"].to_numpy(zero_copy_only=False).astype(bool)
+        signs = table["sign"].combine_chunks()
+        width = np.array([len(s.as_buffer()) for s in signs])
+        by_width = {int(w): (at := np.flatnonzero(~left & (width == w)), np.stack([np.frombuffer(signs[int(i)].as_buffer(), np.uint8) for i in at])) for w in np.unique(width[~left])}
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(left):
+            own = np.frombuffer(signs[int(i)].as_buffer(), np.uint8)[None]
+            for w, (at, others) in by_width.items():
+                m, rest = n[at], n[at] - pos[at]
+                fit = (comp[at] != comp[i]) & ((comp[at] == main[i]) | (cls[at] < cls[i]))
+                fit &= (den * np.minimum(m, n[i]) >= num * np.maximum(m, n[i])) & ((num + den) * np.minimum(rest, n[i] - pos[i]) >= num * (m + n[i]))
+                if not fit.any():
+                    continue
+                at, size = at[fit], min(w, own.shape[1])
+                differing = np.bitwise_count(_folded(others[fit], size) ^ _folded(own, size)).sum(axis=1, dtype=np.int64)
+                at = at[(den + num) * differing <= (den - num) * (n[at] + n[i])]
+                a.append(cls[at])
+                b.append(np.full(len(at), cls[i]))
+        return pa.table({"cls": pa.array(np.concatenate(a)), "other": pa.array(np.concatenate(b))})
+
+    return run
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of long lists, dealt by class into parts of about ``CELL``: a stray goes to the cells of its part with every part, and every member to those of every part with its own."""
+    parts = F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(size / {CELL}, 1))) AS int))")
+    dealt = members.withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(cls), parts)")).withColumn("each", F.explode(F.expr("sequence(0L, parts - 1)")))
+    right = dealt.select(*members.columns, F.lit(False).alias("stray"), F.col("each").alias("i"), F.col("part").alias("j"))
+    return right.unionByName(dealt.where("comp <> main_comp").select(*members.columns, F.lit(True).alias("stray"), F.col("part").alias("i"), F.col("each").alias("j")))
+
+
 _NULL_ID = -(1 << 63)
 
 
@@ -386,7 +429,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             # lists that still hold members of several components; the largest of these is the list's main one
             # (the only pair of a list of two was compared in the first round)
-            known = found.where("size > 2").select("token", "cls", "n", "pos").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+            known = found.where("size > 2").select("token", "cls", "n", "pos", "size").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", "size", F.coalesce("component", "cls").alias("comp"))
             # each list and round has a member of its own stand for a component, so that a stray meets many
             groups = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("cls", "n", "pos"), F.xxhash64(F.lit(turn), "token", "cls")).alias("m"))
             main = groups.groupBy("token").agg(F.max(F.struct("size", "comp", "m")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main_comp"), "main.m.*")
@@ -396,9 +439,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             else:
                 # all members that are not of their list's main component, against all of other components
                 still = space.table("still", known.join(main.select("token", "main_comp"), "token"))
-                stray = still.where("comp <> main_comp").select("token", F.col("comp").alias("other_comp"), F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
-                met = still.join(stray, "token").where("comp <> other_comp").where("comp = main_comp OR cls < other")
-                pairs = allowed(met)
+                short = still.where(f"size <= {LIST_GROUP}")
+                stray = short.where("comp <> main_comp").select("token", F.col("comp").alias("other_comp"), F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
+                met = short.join(stray, "token").where("comp <> other_comp").where("comp = main_comp OR cls < other")
+                # pairs of a long list are not rows: a task compares a cell of its members in arrays
+                long_ = _cells(still.where(f"size > {LIST_GROUP}").join(own.select("cls", "sign"), "cls"))
+                pairs = allowed(met).unionByName(long_.groupBy("token", "i", "j").applyInArrow(_meet(threshold), "cls long, other long")).distinct()
         pairs = space.table(f"pairs{turn}", pairs)
         new = _verify(rows, own, pairs, width, threshold, space, f"links{turn}")
         space.drop(f"pairs{turn}")

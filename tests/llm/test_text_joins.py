@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill.llm import _bytes as B
 from grainmill.llm import jaccard_join as J
@@ -220,3 +221,26 @@ def test_digest(documents, spark, data):
     from grainmill.llm.queries import op8_benchmark_decontamination
 
     assert {r.items_sha256 for r in op8_benchmark_decontamination(spark, data).where("n_items = 0").collect()} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_long_lists_are_compared_in_cells(spark, monkeypatch):
+    """A stray meets every member of another component once or, if both are strays, in one order; no cell holds a whole list and no rows are pairs."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for c in range(300):
+        s = base[rng.permutation(400)[: int(rng.integers(60, 130))]] if c % 3 else np.unique(np.concatenate([base[: 40 + c % 80], rng.integers(0, 1 << 63, c % 7, dtype=np.uint64)]))
+        sets[c] = s
+        rows.append((7, c, len(s), int(rng.integers(0, 9)), c % 40 if c % 5 else 1000, 300, 1000, J._signature(s)))
+    monkeypatch.setattr(J, "CELL", 64)
+    members = spark.createDataFrame(rows, "token long, cls long, n int, pos int, comp long, size long, main_comp long, sign binary").repartition(3)
+    cells = J._cells(members)
+    assert cells.groupBy("i", "j").count().agg(F.max("count")).first()[0] <= 4 * 64
+    got = [tuple(r) for r in cells.groupBy("token", "i", "j").applyInArrow(J._meet((3, 4)), "cls long, other long").collect()]
+    want = []
+    for _, a, n, p, comp, *_ in rows:
+        for _, b, m, q, other, *_ in rows:
+            if other != 1000 and comp != other and (comp == 1000 or a < b) and 4 * min(n, m) >= 3 * max(n, m) and 7 * min(n - p, m - q) >= 3 * (n + m):
+                if 7 * J._differing(pa.py_buffer(J._signature(sets[a])), pa.py_buffer(J._signature(sets[b]))) <= n + m:
+                    want.append((a, b))
+    assert want and sorted(got) == sorted(want)

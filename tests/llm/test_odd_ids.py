@@ -10,6 +10,7 @@ from grainmill.llm.jaccard_join import jaccard_components
 from grainmill.llm.packed_ids import packed_documents, read_packed, write_packed
 from grainmill.llm.pii_pseudonyms import pseudonymise
 from grainmill.llm.span_dedup import dedup_spans
+from grainmill.operators.removal import without_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,3 +106,31 @@ def test_stages_on_odd_tables(spark, odd_docs, data, name):
         known = {(r.doc_id, r.text) for r in df.collect()}
         assert {(r.doc_id, r.text) for r in got.collect()} <= known
     assert stage(spark, odd_docs.limit(0), data).count() == 0
+
+
+def test_near_duplicates_shuffle_listed_rows_only(spark, data):
+    """However many are dropped, rows that stay are not shuffled to be told apart from them."""
+    near = " ".join(f"n{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{near} {i % 50}" if i % 2 else f"{good(i)} {i}.", "en", "s", 1) for i in range(200)], DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.near_duplicates(spark, df, data)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        kept = {r.doc_id for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("Union\n", 1)[-1].splitlines()
+    stays = [line for line in lines if line.startswith(lines[0].split(":")[0] + ":")]  # the first side of the union
+    assert stays and not any("hashpartitioning(doc_id" in line for line in stays)
+    assert {i for i in kept if i % 2} == {1}
+
+
+@pytest.mark.parametrize("words", [(0, 0), (0, 2), (4, 18)])
+def test_rows_without_keys(spark, words):
+    rows = spark.createDataFrame([(i % 700 if i % 9 else None, f"t{i}") for i in range(1000)], "k int, text string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 700, 3)] * 2 + [(None,), (5000,)], "k long")
+    want = sorted(r.text for r in rows.collect() if r.k is None or r.k % 3)
+    got = without_keys(rows, keys, "k", words)
+    assert got.schema == rows.schema and sorted(r.text for r in got.collect()) == want
+    assert without_keys(rows, keys.limit(0), "k", words).count() == 1000

@@ -59,7 +59,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces, as little-endian 32-bit integers; remembers the first ones."""
+    """Ids of pieces without capitals, as little-endian 32-bit integers; remembers the first ones."""
 
     #: Lower-case letters that the normalizer leaves alone: such a run is one pre-token.
     letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
@@ -71,8 +71,10 @@ class _Pieces(dict):
         self.table = str.maketrans(self.alphabet)
 
     def __missing__(self, piece: str) -> bytes:
-        if self.letters.fullmatch(piece):
-            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))]
+        if piece.isascii() and piece.isalpha():
+            ids = [t.id for t in self.model.tokenize(piece)]
+        elif self.letters.fullmatch(piece):
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.table))]
         else:
             ids = self.library.encode(piece, add_special_tokens=False).ids
         out = struct.pack(f"<{len(ids)}I", *ids)
@@ -85,6 +87,8 @@ class _Words(dict):
     """Ids of words between white space, from their pieces."""
 
     _cut = re.compile(r"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z])")
+    #: What is cut from letters before it; a run of it is one piece.
+    _marks = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
     _capitals = str.maketrans({c: c.lower() for c in map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])})
 
     def __init__(self, pieces: _Pieces) -> None:
@@ -92,8 +96,15 @@ class _Words(dict):
         self.pieces = pieces
 
     def __missing__(self, word: str) -> bytes:
-        low = word.translate(self._capitals)
-        out = self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in self._cut.split(low)])
+        plain = word.isascii()
+        low = word.lower() if plain else word.translate(self._capitals)
+        if low.isalpha():
+            out = self.pieces[low]
+        elif plain and (stem := low.rstrip(self._marks)).isalpha():
+            # by far the most of them: letters, then marks
+            out = self.pieces[stem] + self.pieces[low[len(stem) :]]
+        else:
+            out = b"".join([self.pieces[p] for p in self._cut.split(low)])
         if len(self) < _MEMORY:
             self[word] = out
         return out
@@ -116,13 +127,12 @@ class Encoder:
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.library.no_padding()
         self.library.no_truncation()
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, "[\x1c-\x1f]"]))
+        self.whole = [*(t.content for t in self.library.get_added_tokens_decoder().values()), *"\x1c\x1d\x1e\x1f"]
         self.words = _Words(_Pieces(self.library))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        if self.whole.search(text):
+        if any(map(text.__contains__, self.whole)):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.words.__getitem__, text.split()))

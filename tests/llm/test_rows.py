@@ -247,6 +247,19 @@ def test_encoder_equals_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_are_cut_without_expressions(monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    raw = open(P.path("word_bpe_49k.json"), "rb").read()
+    library, own = Tokenizer.from_str(raw.decode()), K.Encoder(raw)
+    monkeypatch.setattr(K._Words, "_cut", None)
+    monkeypatch.setattr(K._Words, "_capitals", None)
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    text = " ".join(["Plain", "WORDS", "end.", "Zq***", "so?!", *("Ab" + m for m in marks), "x" + marks])
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_files(spark, odd, empty, documents, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
